@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from laudario.llm.edits import NEAR, assign, deletes, distance, plain
 
 UNMATCHED = "unmatched"
+MOST_WORDS = 200  # a label of more words is no name; its cost would exceed any bound
 
 # Words that join others and carry no meaning of their own.
 JOINERS = frozenset("a ao as com da das de do dos e em na nas no nos o os para por".split())
@@ -81,13 +82,15 @@ class Canon:
         for w in df:
             for d in deletes(w, allowed(len(w))):
                 self.index[d].add(w)
-        self.whole: dict[str, set[int]] = defaultdict(set)
+        self.whole: dict[str, set[tuple[str, int]]] = defaultdict(set)
         for i, e in enumerate(self.entries):
-            joined = "".join(x for x in e.words if x not in JOINERS)
-            if len(joined) >= 5:
-                for d in deletes(joined, 1):
-                    self.whole[d].add(i)
+            for joined in {"".join(e.words), "".join(x for x in e.words if x not in JOINERS)}:
+                if len(joined) >= 5:
+                    for d in deletes(joined, 1):
+                        self.whole[d].add((joined, i))
         self.vocabulary = sorted(df)
+        self.longest = max(map(len, df), default=0)
+        self.longest_whole = max((sum(map(len, e.words)) for e in self.entries), default=0)
         self.cache: OrderedDict[str, tuple[str, float]] = OrderedDict()
         self.word_cache: dict[str, dict[str, float]] = {}
         self.notes: dict[str, float] = {}
@@ -98,6 +101,8 @@ class Canon:
             return found
         out: dict[str, float] = {}
         most = allowed(len(word))
+        if len(word) > self.longest + 3:  # beyond any edit distance allowed
+            return out
         if word in self.having:
             out[word] = 0.0
         elif word.isalpha():
@@ -167,13 +172,16 @@ class Canon:
             self.cache.move_to_end(text)
             return found
         label = words(text)
+        if len(label) > MOST_WORDS:
+            return UNMATCHED, 9.0
         candidates: Counter[int] = Counter()
         for w in label:
             for v in self.near(w):
                 if v not in JOINERS:
                     for i in self.having[v]:
                         candidates[i] += 1
-        joined = "".join(w for w in label if w not in JOINERS and w not in NOTES)
+        parts = [w for w in label if w not in JOINERS and w not in NOTES]
+        joined = "".join(parts)
         best: dict[str, tuple[float, int]] = {}
 
         def offer(entry: Entry, cost: float):
@@ -182,11 +190,12 @@ class Canon:
 
         for i in candidates:
             offer(self.entries[i], self.score(label, self.entries[i]))
-        if len(joined) >= 5:
+        if 5 <= len(joined) <= self.longest_whole + 1:
             for d in deletes(joined, 1):
-                for i in self.whole.get(d, ()):
-                    target = "".join(x for x in self.entries[i].words if x not in JOINERS)
-                    if (cost := distance(joined, target, 2.0)) <= 1.0 and not any(c.isdigit() for c in joined + target):
+                for target, i in self.whole.get(d, ()):
+                    core = [x for x in self.entries[i].words if x not in JOINERS]
+                    # only for words run together or torn apart; others are judged word by word
+                    if len(core) != len(parts) and (cost := distance(joined, target, 2.0)) <= 1.0 and not any(c.isdigit() for c in joined + target):
                         offer(self.entries[i], 0.2 * cost)
         out = min(((c, f, k) for k, (c, f) in best.items()), default=None)
         result = (out[2], out[0]) if out else (UNMATCHED, 9.0)

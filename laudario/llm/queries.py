@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laudario.llm import bpe, canonical, leakage, lookalike, truncation
+from laudario.llm import bpe, canonical, leakage, lookalike, names, truncation
 from laudario.sources.tables import table
 
 
@@ -32,6 +32,17 @@ def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.p4_repaired(*_characters(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.p5_found(table(spark, folder, "patient_identity"), table(spark, folder, "requester_identity"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of the groups of spellings, by kind of table."""
+    people = names.patient_groups(table(spark, folder, "patient_identity")).groupBy("group").count().withColumn("kind", F.lit("patient"))
+    offices = names.requester_groups(table(spark, folder, "requester_identity")).groupBy("group").count().withColumn("kind", F.lit("requester"))
+    return people.unionByName(offices).groupBy("kind", F.col("count").alias("spellings")).agg(F.count("*").alias("groups"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.p6_ids(table(spark, folder, "documents"))
 
@@ -58,7 +69,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.p8_rates(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p4_found, p4_repaired, p6_ids, p6_round_trip, p7_found, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_misses, p4_found, p4_repaired, p5_found, p5_groups, p6_ids, p6_round_trip, p7_found, p8_found, p8_rates)}
 
 # Which rows are cases of p4 is a matter of their characters alone, so SQL can tell.
 _ORDINARY = "\\x00-\\x7F" + lookalike.LETTERS + lookalike.SIGNS
