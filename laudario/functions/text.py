@@ -162,4 +162,4 @@ def sql_iso_or_raw(e: str) -> str:
 
 def compact_number(c: Column) -> Column:
     """pt-BR with up to two decimals and thousands in groups; halves away from zero."""
-    return F.translate(F.format_number(F.round(c, 2), "#,##0.##"), ",.", ".,")
+    return F.translate(F.call_function("format_number", F.round(c, 2), F.lit("#,##0.##")), ",.", ".,")
