@@ -38,9 +38,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Sizes of the groups of spellings, by kind of table."""
-    people = names.patient_groups(table(spark, folder, "patient_identity")).groupBy("group").count().withColumn("kind", F.lit("patient"))
-    offices = names.requester_groups(table(spark, folder, "requester_identity")).groupBy("group").count().withColumn("kind", F.lit("requester"))
-    return people.unionByName(offices).groupBy("kind", F.col("count").alias("spellings")).agg(F.count("*").alias("groups"))
+    groups = names.entity_groups(table(spark, folder, "patient_identity"), table(spark, folder, "requester_identity"))
+    return groups.groupBy("kind", "group").agg(F.count("*").alias("spellings")).groupBy("kind", "spellings").agg(F.count("*").alias("groups"))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
