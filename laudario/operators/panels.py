@@ -1,0 +1,86 @@
+"""Rendering of panels: blood counts, ordered panels, cultures with their antibiograms, composite curves."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from laudario.functions import text as T
+from laudario.operators.curves import shown, truncate_tenth
+
+# Red cell components by what their label contains, in order.
+RED = (("Hb", "HEMOGLOBINA"), ("Ht", "HEMATOCRITO"), ("VCM", "V C M"), ("HCM", "H C M"), ("CHCM", "C H C M"), ("RDW", "RDW"), ("Hemácias", "HEMACIAS"))
+# White cell fractions.
+WHITE = (("Neut", "NEUTROFILOS"), ("Bast", "BASTONETES"), ("Linf", "LINFOCITOS"), ("Mono", "MONOCITOS"), ("Eos", "EOSINOFILOS"), ("Baso", "BASOFILOS"))
+# Order of blood gases.
+GASES = ("PH", "PCO2", "PO2", "HCO3", "BE", "O2 SATURACAO")
+
+
+def _first(test: Column, value: Column) -> Column:
+    """Value of the first observation by ordinal that passes."""
+    return F.min_by(F.when(test, value), F.when(test, F.col("ordinal")))
+
+
+def blood_count(observations: DataFrame) -> DataFrame:
+    """(occurrence_id, text): red cells, leukocytes with `% [abs]` fractions, platelets last; one row an occurrence.
+
+    `observations` has occurrence_id, ordinal, label, raw_value, raw_unit. Of several values for a
+    component the first counts; a fraction shows its absolute value in brackets if both are there.
+    """
+    df = observations.withColumn("k", T.normalize_label(F.col("label")))
+    percent = F.trim("raw_unit") == "%"
+    aggs = [_first(F.col("k").contains(c), F.col("raw_value")).alias(f"r{i}") for i, (_, c) in enumerate(RED)]
+    aggs += [_first(F.col("k").startswith("LEUCOCITOS"), F.col("raw_value")).alias("leuko"), _first(F.col("k").contains("PLAQUETAS"), F.col("raw_value")).alias("plaq")]
+    for i, (_, c) in enumerate(WHITE):
+        aggs += [_first(F.col("k").contains(c) & F.coalesce(percent, F.lit(False)), F.col("raw_value")).alias(f"p{i}"), _first(F.col("k").contains(c) & ~F.coalesce(percent, F.lit(False)), F.col("raw_value")).alias(f"a{i}")]
+    g = df.groupBy("occurrence_id").agg(*aggs)
+    say = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(name + " "), c))
+    pieces = [say(n, F.col(f"r{i}")) for i, (n, _) in enumerate(RED)] + [say("Leuco", F.col("leuko"))]
+    for i, (n, _) in enumerate(WHITE):
+        both = F.concat(F.coalesce(F.concat(F.col(f"p{i}"), F.lit("%")), F.lit("")), F.coalesce(F.concat(F.lit(" ["), F.col(f"a{i}"), F.lit("]")), F.lit("")))
+        pieces.append(F.when(F.col(f"p{i}").isNotNull() | F.col(f"a{i}").isNotNull(), F.concat(F.lit(n + " "), F.trim(both))))
+    return g.select("occurrence_id", F.concat_ws(" | ", *pieces, say("Plaq", F.col("plaq"))).alias("text"))
+
+
+def ordered_panel(observations: DataFrame, order: tuple[str, ...] = GASES) -> DataFrame:
+    """(occurrence_id, text): components in the order of the first entry that their label contains, unknown ones last."""
+    k = T.normalize_label(F.col("label"))
+    rank = reduce(lambda acc, x: acc.when(k.contains(x[1]), x[0]), list(enumerate(order))[1:], F.when(k.contains(order[0]), 0)).otherwise(len(order))
+    key = F.struct(rank.alias("r"), "ordinal", F.concat_ws(" ", F.trim("label"), F.trim("raw_value")).alias("t"))
+    return observations.groupBy("occurrence_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["t"]), " | ").alias("text"))
+
+
+def culture_text(cultures: DataFrame, entries: DataFrame) -> DataFrame:
+    """(id, text): material and result of a culture, then each organism with its antibiogram.
+
+    `cultures` has id, material, result, organism; `entries` has id, organism, drug, result, interpretation.
+    """
+    shown_ = F.concat_ws(" ", "drug", F.coalesce("interpretation", "result"))
+    grams = entries.groupBy("id", T.normalize_label(F.col("organism")).alias("o")).agg(F.array_join(F.array_sort(F.collect_list(shown_)), ", ").alias("gram"))
+    one = cultures.withColumn("o", T.normalize_label(F.col("organism"))).join(grams, ["id", "o"], "left")
+    line = F.when(F.col("organism").isNotNull(), F.concat(F.trim("organism"), F.coalesce(F.concat(F.lit(": "), F.col("gram")), F.lit(""))))
+    g = one.groupBy("id").agg(F.min("material").alias("material"), F.min("result").alias("result"), F.array_sort(F.collect_list(line)).alias("lines"))
+    head = F.concat_ws(" – ", F.nullif(F.trim("material"), F.lit("")), F.nullif(F.trim("result"), F.lit("")))
+    return g.select("id", F.concat_ws("\n", F.nullif(head, F.lit("")), F.nullif(F.array_join("lines", "\n"), F.lit(""))).alias("text"))
+
+
+def leukogram(observations: DataFrame) -> DataFrame:
+    """(occurrence_id, text) like `Leuco 5.000 (N 60,0% | L 30,0%)`.
+
+    Each part counts only if exactly one observation has it; an occurrence without a single leukocyte
+    value or without any fraction gives no row. Fractions are cut to one decimal.
+    """
+    df = observations.withColumn("k", T.normalize_label(F.col("label")))
+    parts = (("N", ("SEGMENTADOS NEUTROFILOS", "NEUTROFILOS")), ("L", ("LINFOCITOS",)), ("B", ("BASTONETES",)), ("Mielócitos", ("MIELOCITOS",)), ("Metamielócitos", ("METAMIELOCITOS",)), ("Blastos", ("BLASTOS",)))
+    total = (F.col("k") == "LEUCOCITOS") | F.col("k").startswith("LEUCOCITOS P MM3")
+    per = F.coalesce(F.trim("raw_unit") == "%", F.lit(False)) & F.col("numeric_value").isNotNull()
+    aggs = [F.count_if(total & F.col("numeric_value").isNotNull() & ~F.ltrim("raw_value").rlike("^[<>]")).alias("n"), F.max(F.when(total, F.col("numeric_value"))).alias("v")]
+    for i, (_, labels) in enumerate(parts):
+        test = F.col("k").isin(*labels) & per
+        aggs += [F.count_if(test).alias(f"n{i}"), F.max(F.when(test, F.col("numeric_value"))).alias(f"v{i}")]
+    g = df.groupBy("occurrence_id").agg(*aggs)
+    one = [F.when(F.col(f"n{i}") == 1, F.concat(F.lit(name + " "), F.translate(F.call_function("format_number", truncate_tenth(F.col(f"v{i}")), F.lit("0.0")), ".", ","), F.lit("%"))) for i, (name, _) in enumerate(parts)]
+    body = F.concat_ws(" | ", *one)
+    return g.where("n = 1").withColumn("body", body).where("body != ''").select("occurrence_id", F.concat(F.lit("Leuco "), shown(F.col("v")), F.lit(" ("), F.col("body"), F.lit(")")).alias("text"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from laudario.plans import assembly_queries, measure_queries, page_queries, problems, projection_queries, sanitize_queries, semantic_queries, text_queries
+from laudario.plans import assembly_queries, io_queries, measure_queries, page_queries, problems, projection_queries, sanitize_queries, semantic_queries, text_queries
 
-MODULES = [problems, text_queries, assembly_queries, measure_queries, sanitize_queries, semantic_queries, page_queries, projection_queries]
+MODULES = [problems, text_queries, assembly_queries, measure_queries, sanitize_queries, semantic_queries, page_queries, projection_queries, io_queries]
 
 
 def queries() -> dict[str, Callable]:
