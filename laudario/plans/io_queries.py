@@ -73,7 +73,7 @@ SQL = {
         SELECT document_id, stem || CASE WHEN n > 1 THEN '-' || lpad(CAST(n AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INTEGER), '0') ELSE '' END || '.json' AS output_name FROM n""",
     "page_dump": """
         SELECT document_id, page_number, '== ' || document_id || ' / ' || page_number || ' ==' || chr(10) || string_agg('[' || lpad(CAST(source_index AS VARCHAR), CAST(greatest(3, length(CAST(source_index AS VARCHAR))) AS INTEGER), '0') || '] ' || rpad(disposition, CAST(greatest(16, length(disposition)) AS INTEGER), ' ') || ' ' || coalesce(text, ''), chr(10) ORDER BY source_index, line_id) AS text
-        FROM sanitized_line GROUP BY ALL""",
+        FROM sanitized_line GROUP BY document_id, page_number""",
     "stream_first_deliveries": "SELECT source_lab, count(DISTINCT observation_id) AS observations FROM lab_observation GROUP BY ALL",
     "stream_lines": f"SELECT line_key, {T.sql_normalize_text('original_text')} AS normalized, {T.sql_normalize_label(T.sql_literal_label('text'))} AS label_key FROM sanitized_line",
 }
