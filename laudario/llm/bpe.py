@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laudario.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 
@@ -271,7 +273,7 @@ class Decoder:
 def encode_column(df: DataFrame, keys: list[str], text: str, path: str = f"{TOKENIZERS}/{BYTE_BPE_50K}") -> DataFrame:
     """(keys, ids ARRAY<INT>) of every row; NULL and empty texts give an empty array. The rank file is read on the driver and broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(path))
-    slim = df.select(*keys, F.col(text).alias("__text"))
+    slim = spread(df.select(*keys, F.col(text).alias("__text")))
     fields = slim.schema.fields[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>"
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laudario.llm.edits import NEAR, assign, deletes, distance, plain
+from laudario.session import spread
 
 UNMATCHED = "unmatched"
 MOST_WORDS = 200  # a label of more words is no name; its cost would exceed any bound
@@ -110,7 +111,7 @@ class Canon:
                 for w in self.index.get(d, ()):
                     cost = distance(word, w, 3.0)
                     least = min(len(w), len(word))
-                    if w.isalpha() and cost <= (NEAR - 0.05 if least <= 3 else 1.0 if least == 4 else 1.9 if least <= 8 else 2.7):
+                    if w.isalpha() and cost <= (NEAR - 0.05 if least <= 3 else 1.0 if least == 4 else 1.9 if max(len(w), len(word)) <= 5 else 2.0 if least <= 12 else 2.7):
                         cost = 0.15 * cost + 0.02 * max(0, 8 - len(w)) * cost
                         out[w] = min(cost, out.get(w, 9.0))
         if word.isalpha() or word in SHORT:
@@ -120,7 +121,7 @@ class Canon:
                 for w in self.vocabulary:
                     if len(w) > len(word) + 1 and w.startswith(word) and len(word) >= (3 if len(w) < 6 else 2):
                         out[w] = min(0.08 if len(word) >= 3 else 0.2, out.get(w, 9.0))
-                    elif len(word) >= 4 and word not in self.having and len(w) > len(word) + 1 and min(distance(word, w[:n], 1.0) for n in range(len(word) - 1, len(word) + 2)) <= 1.0:
+                    elif len(word) >= 4 and w[0] == word[0] and word not in self.having and len(w) > len(word) + 1 and min(distance(word, w[:n], 1.0) for n in range(len(word) - 1, len(word) + 2)) <= 1.0:
                         out[w] = min(0.3, out.get(w, 9.0))
         if len(self.word_cache) > 200_000:
             self.word_cache.clear()
@@ -163,7 +164,7 @@ class Canon:
         if (found := self.notes.get(word)) is None:
             if len(self.notes) > 200_000:
                 self.notes.clear()
-            found = self.notes[word] = 0.1 if len(word) >= 5 and any(len(n) >= 5 and distance(word, n, 2.0) <= allowed(len(n)) for n in NOTES) else 0.9
+            found = self.notes[word] = 0.1 if len(word) >= 5 and any(len(n) >= 5 and distance(word, n, 2.0) <= min(2.0, allowed(len(n))) for n in NOTES) else 0.9
         return found
 
     def map(self, text: str) -> tuple[str, float]:
@@ -235,7 +236,7 @@ def canonicalize(df: DataFrame, label: str, entries: list[tuple[str, str, int]],
             pairs = [seen[t] for t in labels]
             yield pd.DataFrame({name: [p[0] for p in pairs], "match_cost": pd.array([p[1] for p in pairs], dtype="Float64")})
 
-    return df.select(*kept, lookup(F.col(label)).alias("__m")).select(*kept, f"__m.{name}", "__m.match_cost")
+    return spread(df.select(*kept)).select(*kept, lookup(F.col(label)).alias("__m")).select(*kept, f"__m.{name}", "__m.match_cost")
 
 
 def p1_found(exams: DataFrame, concepts: DataFrame) -> DataFrame:

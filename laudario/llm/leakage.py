@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laudario.session import spread
+
 WINDOW, STRIDE = 16, 4
 ITEM_WINDOW, ITEM_STRIDE = 20, 4
 RANK = 256
@@ -273,7 +275,7 @@ def document_frequencies(documents: DataFrame, text: str, index: Index) -> tuple
         hit = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, hit].astype(np.int32)), pa.array(np.r_[n, count[hit]])], names=["word", "n"])
 
-    rows = documents.select(text).mapInArrow(run, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = spread(documents.select(text)).mapInArrow(run, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(len(index.vocabulary), np.int64)
     total = 0
     for r in rows:
@@ -314,7 +316,7 @@ def latent_basis(documents: DataFrame, text: str, index: Index, rank: int = RANK
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [0], "share": [out.tobytes()]})
 
     schema = "block int, salt int, share binary"
-    shares = documents.select(text).mapInArrow(run, schema)
+    shares = spread(documents.select(text)).mapInArrow(run, schema)
     shares = shares.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
     total = np.zeros((d, rank), np.float32)
     for r in shares.collect():
@@ -357,7 +359,7 @@ def leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
                 found += [(keys[b + d], index.ids[i], s) for d, i, s in searcher.search(arrays)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["doc_id", "item_id", "score"])
 
-    return documents.select(F.col(key).cast("bigint"), text).where(F.length(text) > 0).mapInArrow(run, "doc_id bigint, item_id bigint, score double")
+    return spread(documents.select(F.col(key).cast("bigint"), text).where(F.length(text) > 0)).mapInArrow(run, "doc_id bigint, item_id bigint, score double")
 
 
 def p7_found(documents: DataFrame, items: DataFrame) -> DataFrame:

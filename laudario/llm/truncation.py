@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laudario.session import spread
+
 SAMPLE = 30_000  # texts that the classifier is fitted on, at most
 TAIL = 240  # closing characters that features see
 BITS = 18
@@ -101,10 +103,10 @@ def measured(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 def limits(rows: DataFrame) -> DataFrame:
     """source, char_limit, byte_limit (NULL where the source has none), over all texts."""
-    spread = rows.groupBy("source", "chars", "bytes").count()
-    out = spread.select("source").distinct()
+    lengths = rows.groupBy("source", "chars", "bytes").count()
+    out = lengths.select("source").distinct()
     for what in ("chars", "bytes"):
-        by = spread.groupBy("source", what).agg(F.sum("count").alias("n"))
+        by = lengths.groupBy("source", what).agg(F.sum("count").alias("n"))
         top = by.groupBy("source").agg(F.max(what).alias("top"))
         pile = by.join(top, "source").groupBy("source").agg(
             F.max("top").alias("top"),
@@ -204,7 +206,7 @@ def score(documents: DataFrame, *, key: str = "doc_id", text: str = "text", sour
     """
     rows = measured(documents, key, text, source)
     bounds = limits(rows)
-    marked = near_limit(rows, bounds)
+    marked = near_limit(spread(rows), bounds)
     chosen = (
         documents.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("t"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.xxhash64(F.lit(SEED), F.col(text)).alias("h"))
         .orderBy("h", "t").limit(sample)
