@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from laudario.session import spread
+
 # Array name -> (node kind, names of the node's own id, arrays that it may hold).
 SCHEMA = {
     "patients": ("patient", ("patientkey",), ("episodes",)),
@@ -147,7 +149,7 @@ def label_nodes(df: DataFrame, record: str = "record_id", payload: str = "payloa
                     columns = [[] for _ in _ARROW]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
-    return df.select(F.col(record).cast("bigint").alias("record_id"), F.col(payload).alias("payload")).mapInArrow(run, NODES)
+    return spread(df.select(F.col(record).cast("bigint").alias("record_id"), F.col(payload).alias("payload"))).mapInArrow(run, NODES)
 
 
 def parent_label(dewey: Column) -> Column:
@@ -193,5 +195,5 @@ def links(df: DataFrame, record: str = "record_id", payload: str = "payload") ->
                 rows.extend(seen)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_LINKS)], schema=_LINKS)
 
-    found = df.select(F.col(record).cast("bigint").alias("record_id"), F.col(payload).alias("payload")).mapInArrow(run, LINKS)
+    found = spread(df.select(F.col(record).cast("bigint").alias("record_id"), F.col(payload).alias("payload"))).mapInArrow(run, LINKS)
     return found.dropDuplicates(["record_id", "node_kind", "parent_id", "child_id"])
