@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from laudario.operators.bands import reorder_staggered
+
 PAGE = ("document_id", "page_number")
 LINES = "document_id string, page_number int, word_id string, idx int, line_no int, attached_to string, script string"
 
@@ -89,29 +91,42 @@ def _box(line: list[dict]) -> tuple[float, float]:
     return min(w["left"] for w in line), max(w["right"] for w in line)
 
 
-def order_lines(lines: list[list[dict]]) -> list[list[dict]]:
-    """Lines from the top; a short line with an open bracket takes the line that closes it, once a page."""
-    lines = sorted(lines, key=lambda x: (-median(w["baseline"] for w in x), _box(x)[0]))
+def order_wrapped(lines: list[list[dict]]) -> list[list[dict]]:
+    """A label that runs on below its content: label part, content at its right, end of the label; the end moves up."""
+    lines, i = list(lines), 0
+    while i + 2 < len(lines):
+        a, b, c = lines[i : i + 3]
+        tall = max(1.0, a[0]["top"] - a[0]["bottom"])
+        runs_on = a[-1]["text"][-1:] != ":" and c[-1]["text"].endswith(":") and len(c) <= 3
+        beside = _box(b)[0] > _box(a)[1] and abs(_box(c)[0] - _box(a)[0]) <= 6 and _box(c)[1] < _box(b)[0]
+        if runs_on and beside and a[0]["baseline"] - c[0]["baseline"] <= 2.2 * tall:
+            lines[i + 1], lines[i + 2] = c, b
+            i += 3
+        else:
+            i += 1
+    return lines
+
+
+def close_bracket(lines: list[list[dict]]) -> list[list[dict]]:
+    """A short line with an open bracket takes a line of one or two words up to three below that closes it; once a page."""
+    lines = list(lines)
     for i, line in enumerate(lines):
         text = " ".join(w["text"] for w in line)
         if len(line) <= 5 and text.count("(") > text.count(")"):
-            for j in range(i + 2, min(i + 4, len(lines))):
+            for j in range(i + 1, min(i + 4, len(lines))):
                 other = " ".join(w["text"] for w in lines[j])
                 if len(lines[j]) <= 2 and other.count(")") > other.count("("):
                     lines.insert(i + 1, lines.pop(j))
                     return lines
-    # a label that runs on below its content: label part, content at its right, end of the label
-    i = 0
-    while i + 2 < len(lines):
-        a, b, c = lines[i : i + 3]
-        if a[-1]["text"][-1:] != ":" and c[-1]["text"].endswith(":") and _box(b)[0] > _box(a)[1] and abs(_box(c)[0] - _box(a)[0]) <= 6 and _box(c)[1] < _box(b)[0] and len(c) <= 3 and a[0]["baseline"] - c[0]["baseline"] <= 2.2 * max(1.0, a[0]["top"] - a[0]["bottom"]):
-            lines[i + 1], lines[i + 2] = c, b
-            i += 3
-        else:
-            i += 1
     return lines
 
 
+def order_lines(lines: list[list[dict]]) -> list[list[dict]]:
+    """Lines from the top and left, then labels and brackets moved to what they belong to."""
+    lines = sorted(lines, key=lambda x: (-median(w["baseline"] for w in x), _box(x)[0]))
+    return close_bracket(order_wrapped(reorder_staggered(lines)))
+
+
 def lines_of_words(words: DataFrame) -> DataFrame:
     """Every word with its line number on the page, and the word it is a script of, if any.
 

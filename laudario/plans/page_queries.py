@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from laudario.operators import bands as B
 from laudario.operators import reconstruct as R
 from laudario.sources.tables import table
 
@@ -44,7 +45,17 @@ def glyph_links(spark, folder):
     return R.glyph_links(_w(spark, folder), table(spark, folder, "capture_glyph"))
 
 
-QUERIES = {f.__name__: f for f in (page_tolerance, line_clustering, page_cells, page_lines, cell_split, page_losses, glyph_links)}
+def reference_bands(spark, folder):
+    """Lines of the captured pages without what their reference column holds."""
+    widths = _w(spark, folder).groupBy(*R.PAGE).agg(F.max("page_width").alias("page_width"))
+    return B.reference_bands(page_cells(spark, folder), widths).select("document_id", "page_number", "line_no", "text", "disposition", F.size("suppressed").alias("suppressed"))
+
+
+def raised_digits(spark, folder):
+    return B.raised_digits(page_cells(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (page_tolerance, line_clustering, page_cells, page_lines, cell_split, page_losses, glyph_links, reference_bands, raised_digits)}
 _P = "document_id, page_number"
 SQL = {
     "page_tolerance": f"SELECT {_P}, round(coalesce(least(2.5, greatest(0.75, 0.25 * median(CASE WHEN top_y > bottom_y THEN top_y - bottom_y END))), 1.0), 6) AS tolerance, count(*) AS words FROM capture_word GROUP BY ALL",

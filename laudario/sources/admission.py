@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from laudario.session import numbered
+
 MOST_BYTES = 256 * 1024 * 1024
 SIGNATURE = b"%PDF-"
 
@@ -13,7 +15,7 @@ SIGNATURE = b"%PDF-"
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content, length, modificationTime, input_index) of the PDF files under a path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
-    order = files.select("path").withColumn("input_index", F.row_number().over(W.orderBy("path")) - 1)  # names only: one row a file
+    order = numbered(files.select("path"), "path", name="input_index").withColumn("input_index", (F.col("input_index") - 1).cast("int"))
     return files.join(order, "path")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from laudario.session import numbered
+
 LAYERS = ("capture", "reconstruction", "sanitized", "assembly", "semantic", "derived", "text")
 
 
@@ -35,8 +37,7 @@ def bundle(documents: DataFrame, order: str = "input_index") -> DataFrame:
     """One JSON text for each document, numbered in input order; no documents are an error."""
     if documents.limit(1).count() == 0:
         raise ValueError("there is no document to export")
-    numbered = documents.withColumn("number", F.row_number().over(W.orderBy(order, "document_id")))  # one row a document, keys only
-    return numbered.select("number", F.to_json(F.struct(*[F.col(c).alias(camel(c)) for c in documents.columns])).alias("value"))
+    return numbered(documents, order, "document_id").select("number", F.to_json(F.struct(*[F.col(c).alias(camel(c)) for c in documents.columns])).alias("value"))
 
 
 def write_audit(layers: dict[str, DataFrame], path: str, flags: dict[str, bool] | None = None) -> list[str]:
