@@ -207,8 +207,12 @@ def score(documents: DataFrame, *, key: str = "doc_id", text: str = "text", sour
     rows = measured(documents, key, text, source)
     bounds = limits(rows)
     marked = near_limit(spread(rows), bounds)
+    # Hashes below a bound first, so that the choice of the least ones moves little more than the sample.
+    total = rows.count()
+    most = int(min(1.0, 1.5 * sample / max(total, 1) + 1e-4) * 1_000_003)
+    drawn = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col(text)), F.lit(1_000_003)) <= most
     chosen = (
-        documents.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("t"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.xxhash64(F.lit(SEED), F.col(text)).alias("h"))
+        documents.where(drawn).where(F.col(text).rlike(r"\S")).select(F.col(text).alias("t"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.xxhash64(F.lit(SEED), F.col(text)).alias("h"))
         .orderBy("h", "t").limit(sample)
     )
     known = {r["source"]: (r["char_limit"], r["byte_limit"]) for r in chosen.select("source").distinct().join(bounds, "source").collect()}
