@@ -117,3 +117,15 @@ def texts(series: DataFrame, include_delta: bool = True) -> DataFrame:
 def truncate_tenth(c: Column) -> Column:
     """Toward zero to one decimal."""
     return F.signum(c) * F.floor(F.abs(c.cast("decimal(20,10)")) * 10) / 10
+
+
+def rate_points(assessed: DataFrame) -> DataFrame:
+    """(patient_key, ts, episode_key, value, delta): filtration rates cut to one decimal, and their change.
+
+    Only episodes with exactly one computed rate and a readable request date give a point.
+    """
+    day = F.when(F.col("raw_request_date").rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_timestamp("raw_request_date", F.lit("dd/MM/yyyy"))).cast("date")
+    computed = assessed.where("reason IS NULL").select("patient_key", "episode_key", "derived_observation_id", day.alias("day"), truncate_tenth(F.col("value")).alias("value")).dropDuplicates(["derived_observation_id"])
+    alone = computed.groupBy("patient_key", "episode_key").agg(F.count("*").alias("n"), F.first("day").alias("day"), F.first("value").alias("value")).where("n = 1 AND day IS NOT NULL")
+    w = W.partitionBy("patient_key").orderBy("day", "episode_key")
+    return alone.select("patient_key", "day", "episode_key", "value", F.round(F.col("value") - F.lag("value").over(w), 1).alias("delta"))

@@ -59,11 +59,16 @@ def curve_include_year(spark, folder):
     return C.points(_o(spark, folder)).groupBy("patient_key").agg((F.min(F.year("ts")) != F.max(F.year("ts"))).alias("with_year"))
 
 
+def curve_rates(spark, folder):
+    """Filtration rates of each patient over time."""
+    return C.rate_points(_assessed(spark, folder)).select("patient_key", "day", "episode_key", F.col("value").cast("double").alias("value"), F.col("delta").cast("double").alias("delta"))
+
+
 def curve_text(spark, folder):
     return C.texts(C.points(_o(spark, folder)))
 
 
-QUERIES = {f.__name__: f for f in (egfr_values, egfr_coverage, egfr_truncated, curve_points, curve_delta, curve_last_days, curve_range, curve_options, curve_include_year, curve_text)}
+QUERIES = {f.__name__: f for f in (egfr_values, egfr_coverage, egfr_truncated, curve_points, curve_delta, curve_last_days, curve_range, curve_options, curve_include_year, curve_rates, curve_text)}
 
 _R = D.REASONS
 _BLANK = "coalesce(trim({0}, ' '), '') = ''"
@@ -78,6 +83,11 @@ _ASSESSED = f"""
     e AS (SELECT derived_observation_id, reason, CASE WHEN reason IS NULL THEN 142 * pow(least(ratio, 1.0), CASE WHEN sx = 'feminino' THEN -0.241 ELSE -0.302 END) * pow(greatest(ratio, 1.0), -1.2)
         * pow(0.9938, age_at_request_years) * CASE WHEN sx = 'feminino' THEN 1.012 ELSE 1.0 END END AS value FROM a)
 """
+_RATES = _ASSESSED + r"""
+    , d AS (SELECT DISTINCT derived_observation_id, a.patient_key, a.episode_key, CASE WHEN regexp_matches(raw_request_date, '^\d{2}/\d{2}/\d{4}$') THEN CAST(try_strptime(raw_request_date, '%d/%m/%Y') AS DATE) END AS day,
+        floor(CAST(e.value AS DECIMAL(20,10)) * 10) / 10 AS value FROM e JOIN a USING (derived_observation_id) WHERE e.reason IS NULL),
+    o AS (SELECT patient_key, episode_key, any_value(day) AS day, any_value(value) AS value FROM d GROUP BY ALL HAVING count(*) = 1)
+    SELECT patient_key, day, episode_key, CAST(value AS DOUBLE) AS value, round(CAST(value - lag(value) OVER (PARTITION BY patient_key ORDER BY day, episode_key) AS DOUBLE), 1) AS delta FROM o WHERE day IS NOT NULL"""
 _DEF = "(VALUES " + ", ".join(f"('{k}', '{c}', '{u}', '{label}', {o})" for k, label, c, u, o in C.SERIES) + ") AS d(series_key, concept_id, unit, series_label, place)"
 _UNIT = "translate(upper(replace(trim({0}, ' '), ' ', '')), '³²', '32')"
 
@@ -96,6 +106,7 @@ SQL = {
     "egfr_values": _ASSESSED + "SELECT derived_observation_id, CASE WHEN reason IS NULL THEN 'Computed' ELSE 'NotComputed' END AS status, reason, round(value, 6) AS value FROM e",
     "egfr_coverage": _ASSESSED + f"""
         SELECT r AS reason, count(e.derived_observation_id) AS n FROM (SELECT unnest(['Computed', {', '.join(f"'{r}'" for r in _R)}]) AS r) LEFT JOIN e ON coalesce(e.reason, 'Computed') = r GROUP BY ALL""",
+    "curve_rates": _RATES,
     "egfr_truncated": _ASSESSED + "SELECT derived_observation_id, CAST(floor(value * 10) AS BIGINT) AS tenths FROM e WHERE reason IS NULL",
     "curve_points": _points() + "SELECT patient_key, series_key, ts, episode_key, observation_id, CAST(value AS DOUBLE) AS value FROM p",
     "curve_delta": _points() + """SELECT patient_key, series_key, observation_id, CAST(row_number() OVER w AS INTEGER) AS n, count(*) OVER (PARTITION BY patient_key, series_key, CAST(ts AS DATE)) > 1 AS repeated_day,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from laudario.operators import bands as B
+from laudario.operators import notices as N
 from laudario.operators import reconstruct as R
 from laudario.sources.tables import table
 
@@ -55,9 +56,29 @@ def raised_digits(spark, folder):
     return B.raised_digits(page_cells(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (page_tolerance, line_clustering, page_cells, page_lines, cell_split, page_losses, glyph_links, reference_bands, raised_digits)}
+def page_notices(spark, folder):
+    """Notices of reconstruction and line classification, counted."""
+    words = _w(spark, folder)
+    made = N.reconstruction_notices(words, R.lines_of_words(words)).unionByName(N.sanitization_notices(table(spark, folder, "sanitized_header"), table(spark, folder, "sanitized_line")))
+    return made.groupBy("document_id", "severity", "code").agg(F.count("*").alias("pages"))
+
+
+def document_counters(spark, folder):
+    words = _w(spark, folder)
+    return N.document_counters(words, R.lines_of_words(words))
+
+
+QUERIES = {f.__name__: f for f in (page_tolerance, line_clustering, page_cells, page_lines, cell_split, page_losses, glyph_links, reference_bands, raised_digits, page_notices, document_counters)}
 _P = "document_id, page_number"
 SQL = {
+    "page_notices": f"""
+        WITH w AS (SELECT {_P}, word_id, left_x IS NULL OR bottom_y IS NULL OR right_x IS NULL OR top_y IS NULL OR baseline_y IS NULL OR text IS NULL OR isnan(left_x) OR isnan(baseline_y) AS lost FROM capture_word),
+        g AS (SELECT {_P}, bool_and(lost) AS all_lost, bool_or(lost) AS any_lost FROM w GROUP BY ALL),
+        n AS (SELECT {_P}, 'Warning' AS severity, 'PageWithoutLines' AS code FROM g WHERE all_lost UNION ALL SELECT {_P}, 'Error', 'UnresolvedWords' FROM g WHERE any_lost
+            UNION ALL SELECT {_P}, 'Warning', 'HeaderIncomplete' FROM sanitized_header WHERE coalesce(trim(patient_name, ' '), '') = '' OR coalesce(trim(birth_date, ' '), '') = '' OR coalesce(trim(request_number, ' '), '') = '' OR coalesce(trim(request_date, ' '), '') = '' OR coalesce(trim(request_time, ' '), '') = ''
+            UNION ALL SELECT {_P}, 'Warning', 'UnresolvedFragments' FROM sanitized_header WHERE len(unresolved_fragments) > 0
+            UNION ALL SELECT {_P}, 'Warning', 'FooterUnrecognized' FROM sanitized_line GROUP BY {_P} HAVING count(*) FILTER (disposition = 'Footer') = 0)
+        SELECT document_id, severity, code, count(*) AS pages FROM n GROUP BY ALL""",
     "page_tolerance": f"SELECT {_P}, round(coalesce(least(2.5, greatest(0.75, 0.25 * median(CASE WHEN top_y > bottom_y THEN top_y - bottom_y END))), 1.0), 6) AS tolerance, count(*) AS words FROM capture_word GROUP BY ALL",
     "cell_split": f"""
         WITH l AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY {_P} ORDER BY round_even(baseline_y, 4) DESC) AS INTEGER) AS line_no FROM capture_word),
