@@ -6,7 +6,8 @@
    levels and orthonormalised on the driver. The matrix has one row a word of the items, so its size is
    bounded by the evaluation set, not by the corpus.
 3. Every document, in whole, is cut into windows of `WINDOW` words, one every `STRIDE`; windows are
-   compared with those of the items by cosine in the latent space. As a leak of 20 words holds a whole
+   compared with those of the items by cosine in the latent space; words that no item has count nowhere,
+   whatever the size of the corpus. As a leak of 20 words holds a whole
    window, no leak falls between two of them. Nothing is shuffled.
 4. A candidate must share a longest common subsequence with the item, and its document and the item are
    then aligned locally by words. Scores in between are decided by an answer check: the numbers and
@@ -15,7 +16,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -40,12 +40,13 @@ MOST_WORDS = 200_000  # words of the evaluation set; more are refused
 _STEP = 64  # documents at a time
 
 _WORD = re.compile(r"\w+(?:[.,]\w+)*")
+_SEPARATOR = re.compile(r"(?<=\d)[.,](?=\d)")
 _MARKS = {c: None for c in range(0x300, 0x370)} | dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 
 
 def words(text: str) -> list[str]:
-    """Words in lower case without accents; numbers keep their separators. Layout and punctuation vanish."""
-    text = text.lower()
+    """Words in lower case without accents; numbers without their separators, as some layouts lose them. Layout and punctuation vanish."""
+    text = _SEPARATOR.sub("", text.lower())
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text).translate(_MARKS)
     return _WORD.findall(text)
@@ -74,7 +75,6 @@ class Index:
 
     def fit(self, df_counts: np.ndarray, documents: int) -> None:
         self.idf = np.log((documents + 1) / (df_counts + 1)).astype(np.float32) + 1
-        self.foreign = np.float32(math.log(documents + 1))  # weight of words that no item has; lower than their own idf could be
 
     def project(self, basis: np.ndarray) -> None:
         """Item windows in the latent space, as unit vectors."""
@@ -185,6 +185,7 @@ class Searcher:
                 b[v] |= 1 << p
             self.bits.append(dict(b))
         self.energy = index.idf**2
+        self.least = min([SUBSEQUENCE, *map(len, index.items)])
 
     def candidates(self, arrays: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
         """(document, item) -> first words of the windows that are near a window of the item."""
@@ -197,13 +198,14 @@ class Searcher:
         known = flat >= 0
         safe = np.where(known, flat, 0)
         inside = np.where(known, self.energy[safe], 0).reshape(-1, STRIDE).sum(1)
-        outside = np.where(flat == -1, x.foreign**2, 0).reshape(-1, STRIDE).sum(1)
+        count = known.reshape(-1, STRIDE).sum(1)
         n = len(inside)
         into = np.minimum(np.arange(n)[:, None] + np.arange(parts), n - 1)
         same = (owner[into] == owner[:, None]) & (np.arange(n)[:, None] + np.arange(parts) < n)
-        e_in, e_out = (inside[into] * same).sum(1), (outside[into] * same).sum(1)
-        # A window's latent cosine can't exceed the share of its energy that lies in words of the items (each occurrence counts).
-        keep = np.flatnonzero((e_in > 0) & (e_in >= COSINE**2 * (e_in + e_out)))
+        energy, hits = (inside[into] * same).sum(1), (count[into] * same).sum(1)
+        # Words that no item has count nowhere, so that nothing here grows stricter with the corpus. A window
+        # with fewer words of the items than the common subsequence needs can't pass it.
+        keep = np.flatnonzero(hits >= self.least)
         if not len(keep):
             return found
         need = np.unique(into[keep][same[keep]])
@@ -218,7 +220,7 @@ class Searcher:
             part = keep[b : b + 1024]
             windows = vec[at[b : b + 1024]].sum(1)
             near = windows @ x.latent.T
-            r, c = np.nonzero(near >= COSINE * np.sqrt(e_in[part] + e_out[part])[:, None])
+            r, c = np.nonzero(near >= COSINE * np.sqrt(energy[part])[:, None])
             d = owner[part[r]]
             s = (part[r] - starts[d]) * STRIDE
             for key in set(zip(d.tolist(), x.owner[c].tolist(), s.tolist())):

@@ -76,3 +76,22 @@ def test_subsequence_and_alignment_match_brute_force():
             for j in range(len(b)):
                 h[i + 1, j + 1] = max(0, h[i, j] + (1 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
         assert L.align([np.array(a, np.int32)], [np.array(b, np.int32)])[0] == h.max()
+
+
+def test_numbers_are_the_same_without_separators():
+    assert L.words("Traz 198,22 e 1.234,5 mg/L, pH 7.4.") == L.words("traz 19822 e 12345 mg L ph 74")
+
+
+def test_search_does_not_grow_stricter_with_the_corpus():
+    index = L.Index(ITEMS)
+    words = ITEMS[0][1].split(" ")[10:34]
+    for k in (3, 8, 14):
+        words[k] = f"foreign{k}"
+    words[6:6] = ["foreign"]
+    for documents in (10_000, 1_000_000, 100_000_000):
+        index.fit(np.full(len(index.vocabulary), documents // 8), documents)
+        index.project(np.eye(len(index.vocabulary), dtype=np.float32))
+        searcher = L.Searcher(index, np.zeros(len(index.vocabulary), bool))
+        found = searcher.candidates([index.encode(" ".join(["alien"] * 9 + words + ["alien"] * 9))])
+        assert (0, 0) in found, documents
+        assert not searcher.candidates([index.encode(" ".join(["alien"] * 30))])
