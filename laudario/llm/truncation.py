@@ -8,7 +8,7 @@ characters and words with digits masked, the shape of the last line, punctuation
 how near the length is to a limit. As some texts taken for intact are not, the sample is judged by cross
 fitting first, and the final fit leaves out texts that models of other texts took for cut.
 
-The classifier is fitted on a bounded sample of `SAMPLE` texts; limits cover, and scores are for, every
+The classifier is fitted on a bounded sample of `SAMPLE` different texts; limits cover, and scores are for, every
 record.
 """
 
@@ -198,6 +198,17 @@ def train(sample: list[tuple[str, str, int | None, int | None]], rounds: int = 2
     return Logistic().fit([rows[k] for k in kept], y[kept], rounds)
 
 
+def draw(documents: DataFrame, text: str, source: str, sample: int) -> DataFrame:
+    """(t, source, h) of at most `sample` different texts of a source that aren't blank; copies are drawn as one."""
+    texts = documents.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("t"), F.coalesce(F.col(source), F.lit("")).alias("source"))
+    # Hashes below a bound first, so that the choice of the least ones moves little more than the sample.
+    # The bound's margin is far above the error of the count.
+    different = texts.agg(F.approx_count_distinct(F.xxhash64("source", "t"), 0.02)).first()[0]
+    most = int(min(1.0, 1.5 * sample / max(different, 1) + 1e-4) * 1_000_003)
+    drawn = texts.where(F.pmod(F.xxhash64(F.lit(SEED + 1), F.col("t")), F.lit(1_000_003)) <= most).distinct()
+    return drawn.withColumn("h", F.xxhash64(F.lit(SEED), F.col("t"))).orderBy("h", "t", "source").limit(sample)
+
+
 def score(documents: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", sample: int = SAMPLE) -> DataFrame:
     """(key, source, probability, truncated) of every record.
 
@@ -207,14 +218,7 @@ def score(documents: DataFrame, *, key: str = "doc_id", text: str = "text", sour
     rows = measured(documents, key, text, source)
     bounds = limits(rows)
     marked = near_limit(spread(rows), bounds)
-    # Hashes below a bound first, so that the choice of the least ones moves little more than the sample.
-    total = rows.count()
-    most = int(min(1.0, 1.5 * sample / max(total, 1) + 1e-4) * 1_000_003)
-    drawn = F.pmod(F.xxhash64(F.lit(SEED + 1), F.col(text)), F.lit(1_000_003)) <= most
-    chosen = (
-        documents.where(drawn).where(F.col(text).rlike(r"\S")).select(F.col(text).alias("t"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.xxhash64(F.lit(SEED), F.col(text)).alias("h"))
-        .orderBy("h", "t").limit(sample)
-    )
+    chosen = draw(documents, text, source, sample)
     known = {r["source"]: (r["char_limit"], r["byte_limit"]) for r in chosen.select("source").distinct().join(bounds, "source").collect()}
     picked = [(r["t"], r["source"], *known.get(r["source"], (None, None))) for r in chosen.toLocalIterator()]
     model = train(picked)

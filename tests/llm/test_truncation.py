@@ -55,3 +55,15 @@ def test_empty_and_tiny(spark):
 def test_visible_cuts():
     text = "Uma frase. Outra frase\nlinha"
     assert not T._visible(text, 10) and not T._visible(text, 22) and T._visible(text, 5) and T._visible(text, 15)
+
+
+def test_sample_holds_different_texts(spark, monkeypatch):
+    rows = [(i, f"Texto número {i}.", "a") for i in range(600)] + [(1000 + i, "Texto igual.", "b") for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    seen = []
+    monkeypatch.setattr(T, "train", lambda sample, *_: seen.extend(sample) or T.Logistic())
+    assert T.score(df, sample=200).count() == 5600
+    assert len(seen) == len({s[:2] for s in seen}) == 200
+    seen.clear()
+    assert T.score(df.union(df), sample=10_000).count() == 11_200
+    assert len(seen) == len({s[:2] for s in seen}) == 601
