@@ -4,9 +4,10 @@ Ordinary writing is ASCII, the accented letters of Portuguese as single code poi
 The JVM finds the rows that hold anything else by one pattern; only those go on. Characters with a
 plain counterpart of their own (full-width forms, ligatures, exotic spaces and hyphens, invisible
 characters, combining accents) are folded. Letters of other scripts that look like Latin ones are
-repaired by token: the dominant script of a token is that of most of its letters; a token that mixes
-scripts, or holds only look-alikes amid Latin text, becomes its Latin reading if that reading occurs in
-the vocabulary of the corpus's ordinary rows. The vocabulary is a distributed table and is joined, not
+repaired by token: a token that mixes scripts, or holds only look-alikes amid Latin text, becomes its
+Latin reading if that reading occurs in the vocabulary of the corpus's ordinary rows. The dominant
+script of a token is that of most of its letters; a text is Latin unless tokens of another dominant
+script that have no Latin reading outnumber those of Latin. The vocabulary is a distributed table and is joined, not
 collected.
 """
 
@@ -86,16 +87,24 @@ def latin_reading(token: str) -> str | None:
     return out if all(script(c) in ("", "LATIN") for c in out) else None
 
 
+def amid_latin(tokens: list[str]) -> bool:
+    """Whether the tokens are Latin text; those of another script that have a Latin reading tell nothing."""
+    latin = sum(dominant(t) == "LATIN" for t in tokens)
+    return latin >= sum(dominant(t) != "LATIN" and latin_reading(t) is None for t in tokens)
+
+
 def pieces(text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
     """The folded text, and (start, end, reading, vocabulary key) of each token that may be repaired."""
     folded = fold(text)
-    out = []
+    out, latin = [], None
     for m in _WORD.finditer(folded):
         token = m[0]
         scripts = {s for c in token if (s := script(c))}
         if scripts - {"LATIN"}:
             reading = latin_reading(token)
-            if reading is not None:
+            if reading is not None and len(scripts) == 1:
+                latin = amid_latin(_WORD.findall(folded)) if latin is None else latin
+            if reading is not None and (len(scripts) > 1 or latin):
                 out.append((m.start(), m.end(), reading, reading.lower()))
     return folded, out
 

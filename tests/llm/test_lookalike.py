@@ -38,3 +38,9 @@ def test_found_and_empty(spark):
     glyphs = spark.createDataFrame([(1, None)], "glyph_key bigint, text string")
     assert sorted(tuple(r) for r in L.p4_found(lines, words, glyphs).collect()) == [("sanitized_line", 2), ("sanitized_line", 4), ("sanitized_line", 5)]
     assert L.p4_found(lines.limit(0), words, glyphs).count() == 0
+
+
+def test_wholly_foreign_tokens_are_repaired_amid_latin_text_only(spark):
+    out = run(spark, [(1, "sexo de soro"), (2, "Ѕехо de soro"), (3, "Ѕехо жук дым"), (4, "Ѕехо"), (5, "ѕorо жук дым"), (6, "Ѕехо Ѕехо de soro жук")])
+    assert {k: r.repaired for k, r in out.items()} == {2: "Sexo de soro", 3: "Ѕехо жук дым", 4: "Sexo", 5: "soro жук дым", 6: "Sexo Sexo de soro жук"}
+    assert out[3].residual and not out[4].residual
