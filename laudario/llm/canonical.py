@@ -2,18 +2,23 @@
 
 The reference list is broadcast as a symmetric-delete dictionary of its words. A label is cut into
 words; each word looks up dictionary words within a bounded edit distance (its deletions meet theirs),
-and words that it abbreviates. The words of the label are then aligned with those of each candidate
-entry by optimal assignment, at weighted Damerau-Levenshtein costs. Words of the label that no entry
-word explains, and words of the entry that the label lacks, cost by their weight: a word that many
-entries share (``de``, ``total``, ``igg``) tells less or more than its rarity says, see `weights`.
-Equal costs are ranked by the entry's reference frequency. Beyond the bound a label stands for none.
+and words that it abbreviates: prefixes from a sorted vocabulary, misspelt prefixes from a
+symmetric-delete dictionary of the prefixes, so that no lookup walks the vocabulary. The words of the
+label are then aligned with those of each candidate entry by optimal assignment, at weighted
+Damerau-Levenshtein costs. Words of the label that no entry word explains, and words of the entry that
+the label lacks, cost a fixed amount each, joining words and notes next to nothing. Equal costs are
+ranked by the entry's reference frequency. Beyond the bound a label stands for none.
+
+Each different label is mapped once and joined back; the labels that make up a thousandth of the rows
+or more, of which there are a thousand at most, are joined by broadcast, so that a hot label moves nowhere.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, OrderedDict, defaultdict
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Collection, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pandas as pd
@@ -21,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laudario.llm.edits import NEAR, assign, deletes, distance, plain
-from laudario.session import spread
+from laudario.session import cut, spread
 
 UNMATCHED = "unmatched"
-MOST_WORDS = 200  # a label of more words is no name; its cost would exceed any bound
+BLOCK = 50_000  # entries of a reference list that are sent to the executors at once; longer lists are searched in blocks
+HOT_SHARE = 1000  # labels of at least this part of the rows are joined by broadcast
 
 # Words that join others and carry no meaning of their own.
 JOINERS = frozenset("a ao as com da das de do dos e em na nas no nos o os para por".split())
@@ -37,7 +43,7 @@ SHORT = {
     "1a": ("primeira",), "1o": ("primeiro",), "2a": ("segunda",), "2o": ("segundo",), "24h": ("24",), "2h": ("2",),
 }
 
-_WORD = re.compile(r"[a-z]+|\d+[a-z]*")
+MISSING, EXTRA, SLIGHT, NOTE = 0.9, 0.9, 0.01, 0.05  # costs of words without a partner
 
 
 def words(text: str) -> list[str]:
@@ -58,139 +64,175 @@ class Entry:
 
 
 class Canon:
-    """The reference list as a symmetric-delete dictionary of words and of whole entries without spaces."""
+    """The reference list as a symmetric-delete dictionary of words, of their prefixes, and of whole entries without spaces.
 
-    def __init__(self, entries: Iterable[tuple[str, str, int]], bound: float = 1.0):
+    `notes` are words that mean nothing beside a name, `short` abbreviations that are no prefixes; either may be empty.
+    """
+
+    def __init__(self, entries: Iterable[tuple[str, str, int]], bound: float = 1.0, notes: Collection[str] = NOTES, short: Mapping[str, tuple[str, ...]] = SHORT):
         self.bound = bound
+        self.remarks, self.short = frozenset(notes), dict(short)
         self.entries: list[Entry] = []
         known = set()
         for text, concept, frequency in entries:
             if text is None or concept is None:
                 continue
-            parts = [w for w in words(text)]
+            parts = words(text)
             if not parts or (tuple(parts), concept) in known:
                 continue
             known.add((tuple(parts), concept))
             self.entries.append(Entry(concept, parts, frequency or 0))
-        df = Counter()
         self.having: dict[str, list[int]] = defaultdict(list)
         for i, e in enumerate(self.entries):
             for w in set(e.words):
                 self.having[w].append(i)
-                df[w] += 1
-        self.weight = {w: (0.0 if w in JOINERS else 1.0) for w in df}
         self.index: dict[str, set[str]] = defaultdict(set)
-        for w in df:
+        self.prefixes: dict[str, set[tuple[str, str]]] = defaultdict(set)
+        for w in self.having:
             for d in deletes(w, allowed(len(w))):
                 self.index[d].add(w)
+            if w.isalpha():
+                for n in range(3, len(w)):
+                    for d in deletes(w[:n], 1):
+                        self.prefixes[d].add((w[:n], w))
         self.whole: dict[str, set[tuple[str, int]]] = defaultdict(set)
         for i, e in enumerate(self.entries):
             for joined in {"".join(e.words), "".join(x for x in e.words if x not in JOINERS)}:
                 if len(joined) >= 5:
                     for d in deletes(joined, 1):
                         self.whole[d].add((joined, i))
-        self.vocabulary = sorted(df)
-        self.longest = max(map(len, df), default=0)
+        self.remark_index: dict[str, set[str]] = defaultdict(set)
+        for n in self.remarks:
+            if len(n) >= 5:
+                for d in deletes(n, 2):
+                    self.remark_index[d].add(n)
+        self.vocabulary = sorted(self.having)
+        self.longest = max(map(len, self.having), default=0)
         self.longest_whole = max((sum(map(len, e.words)) for e in self.entries), default=0)
-        self.cache: OrderedDict[str, tuple[str, float]] = OrderedDict()
+        self.cache: dict[tuple[str, ...], tuple[str, float, int]] = {}
         self.word_cache: dict[str, dict[str, float]] = {}
-        self.notes: dict[str, float] = {}
+        self.extras: dict[str, float] = {}
 
-    def near(self, word: str) -> dict[str, float]:
-        """Dictionary words that the word may stand for, with costs."""
-        if (found := self.word_cache.get(word)) is not None:
+    def near(self, word: str, elsewhere: Collection[str] = ()) -> dict[str, float]:
+        """Dictionary words that the word may stand for, with costs; a word known `elsewhere` is no typo."""
+        if len(word) > self.longest + 3:  # beyond any edit distance allowed
+            return {}
+        if not elsewhere and (found := self.word_cache.get(word)) is not None:
             return found
         out: dict[str, float] = {}
-        most = allowed(len(word))
-        if len(word) > self.longest + 3:  # beyond any edit distance allowed
-            return out
-        if word in self.having:
+        exact = word in self.having
+        if exact:
             out[word] = 0.0
-        elif word.isalpha():
-            for d in deletes(word, max(most, 1)):
+        elif word.isalpha() and word not in elsewhere:
+            seen = set()
+            for d in deletes(word, max(allowed(len(word)), 1)):
                 for w in self.index.get(d, ()):
+                    if w in seen or not w.isalpha():
+                        continue
+                    seen.add(w)
                     cost = distance(word, w, 3.0)
-                    least = min(len(w), len(word))
-                    if w.isalpha() and cost <= (NEAR - 0.05 if least <= 3 else 1.0 if least == 4 else 1.9 if max(len(w), len(word)) <= 5 else 2.0 if least <= 12 else 2.7):
-                        cost = 0.15 * cost + 0.02 * max(0, 8 - len(w)) * cost
-                        out[w] = min(cost, out.get(w, 9.0))
-        if word.isalpha() or word in SHORT:
-            for w in SHORT.get(word, ()):
+                    least, most = min(len(w), len(word)), max(len(w), len(word))
+                    if cost <= (NEAR - 0.05 if least <= 3 else 1.0 if least == 4 else 1.9 if most <= 5 else 2.0 if least <= 12 else 2.7):
+                        out[w] = 0.15 * cost + 0.02 * max(0, 8 - len(w)) * cost
+        for w in self.short.get(word, ()):
+            if w in self.having:
                 out[w] = min(0.05, out.get(w, 9.0))
-            if len(word) >= 2:
-                for w in self.vocabulary:
-                    if len(w) > len(word) + 1 and w.startswith(word) and len(word) >= (3 if len(w) < 6 else 2):
-                        out[w] = min(0.08 if len(word) >= 3 else 0.2, out.get(w, 9.0))
-                    elif len(word) >= 4 and w[0] == word[0] and word not in self.having and len(w) > len(word) + 1 and min(distance(word, w[:n], 1.0) for n in range(len(word) - 1, len(word) + 2)) <= 1.0:
-                        out[w] = min(0.3, out.get(w, 9.0))
-        if len(self.word_cache) > 200_000:
-            self.word_cache.clear()
-        self.word_cache[word] = out
+        if word.isalpha() and len(word) >= 2:
+            at = bisect_left(self.vocabulary, word)
+            while at < len(self.vocabulary) and (w := self.vocabulary[at]).startswith(word):
+                if len(w) > len(word) + 1 and len(word) >= (3 if len(w) < 6 else 2):
+                    out[w] = min(0.08 if len(word) >= 3 else 0.2, out.get(w, 9.0))
+                at += 1
+            if len(word) >= 4 and not exact and word not in elsewhere:
+                for d in deletes(word, 1):
+                    for p, w in self.prefixes.get(d, ()):
+                        if len(w) > len(word) + 1 and p[0] == word[0] and out.get(w, 9.0) > 0.3 and abs(len(p) - len(word)) <= 1 and distance(word, p, 1.0) <= 1.0:
+                            out[w] = 0.3
+        if not elsewhere:
+            if len(self.word_cache) > 200_000:
+                self.word_cache.clear()
+            self.word_cache[word] = out
         return out
 
-    def score(self, label: list[str], entry: Entry) -> float:
-        """Cost of reading the label's words as the entry."""
+    def score(self, label: list[str], entry: Entry, elsewhere: Collection[str] = ()) -> float:
+        """Cost of reading the label's words as the entry; beyond the bound perhaps a lower bound of it."""
         have = entry.words
-        core = [w for w in label if w not in NOTES or w in have]
+        core = [w for w in label if w not in self.remarks or w in have]
         if not core:
             return 9.0
-        small, large = (core, have) if len(core) <= len(have) else (have, core)
-        table = []
-        for a in small:
-            row = []
-            for b in large:
-                word, w = (a, b) if small is core else (b, a)
-                near = self.near(word).get(w)
-                if near is None and len(word) == 1 and word not in JOINERS and len(w) > 3 and w[0] == word:
-                    near = 0.35
-                alone = self.missing(w) + self.extra(word)
-                row.append(min(near, alone) if near is not None else alone)
+        gap = [self.missing(w) for w in have]
+        spare = [self.extra(w) for w in core]
+        table, low = [], 0.0
+        best = list(gap)
+        for word, loose in zip(core, spare):
+            near = self.near(word, elsewhere)
+            first = word[0] if len(word) == 1 and word not in JOINERS else None
+            row, least = [], loose
+            for j, w in enumerate(have):
+                c = near.get(w)
+                if c is None and first and len(w) > 3 and w[0] == first:
+                    c = 0.35
+                alone = gap[j] + loose
+                if c is None or c > alone:
+                    c = alone
+                else:
+                    least = min(least, c)
+                    best[j] = min(best[j], c)
+                row.append(c)
+            low += least
             table.append(row)
+        # Each word costs its cheapest partner at least; most candidates fall here.
+        if (low := max(low, sum(best))) > self.bound:
+            return low
+        if len(core) > len(have):
+            table = [list(column) for column in zip(*table)]
+            total, where = assign(table)
+            return total + sum(spare) - sum(spare[i] for i in where)
         total, where = assign(table)
-        rest = set(range(len(large))) - set(where)
-        total += sum((self.missing(large[j]) if small is core else self.extra(large[j])) for j in rest)
-        return total
+        return total + sum(gap) - sum(gap[j] for j in where)
 
     def missing(self, w: str) -> float:
         """Cost of a word of the entry that the label lacks."""
-        return 0.01 if w in JOINERS else 0.9
+        return SLIGHT if w in JOINERS else MISSING
 
     def extra(self, word: str) -> float:
         """Cost of a word of the label that the entry doesn't have."""
         if word in JOINERS:
-            return 0.01
-        if word in NOTES or word.isdigit() and len(word) == 1:
-            return 0.05
-        if (found := self.notes.get(word)) is None:
-            if len(self.notes) > 200_000:
-                self.notes.clear()
-            found = self.notes[word] = 0.1 if len(word) >= 5 and any(len(n) >= 5 and distance(word, n, 2.0) <= min(2.0, allowed(len(n))) for n in NOTES) else 0.9
+            return SLIGHT
+        if word in self.remarks or word.isdigit() and len(word) == 1:
+            return NOTE
+        if (found := self.extras.get(word)) is None:
+            if len(self.extras) > 200_000:
+                self.extras.clear()
+            close = 5 <= len(word) <= 14 and any(distance(word, n, 2.0) <= min(2.0, allowed(len(n))) for n in set().union(*(self.remark_index.get(d, ()) for d in deletes(word, 2))))
+            found = self.extras[word] = 0.1 if close else EXTRA
         return found
 
-    def map(self, text: str) -> tuple[str, float]:
-        """(concept or `unmatched`, cost) of a label."""
-        if (found := self.cache.get(text)) is not None:
-            self.cache.move_to_end(text)
-            return found
+    def map(self, text: str, elsewhere: Collection[str] = ()) -> tuple[str, float, int]:
+        """(concept or `unmatched`, cost, frequency of the entry) of a label."""
         label = words(text)
-        if len(label) > MOST_WORDS:
-            return UNMATCHED, 9.0
-        candidates: Counter[int] = Counter()
-        for w in label:
-            for v in self.near(w):
+        key = tuple(label)
+        if not elsewhere and (found := self.cache.get(key)) is not None:
+            return found
+        candidates: set[int] = set()
+        for w in set(label):
+            for v in self.near(w, elsewhere):
                 if v not in JOINERS:
-                    for i in self.having[v]:
-                        candidates[i] += 1
-        parts = [w for w in label if w not in JOINERS and w not in NOTES]
-        joined = "".join(parts)
+                    candidates.update(self.having[v])
         best: dict[str, tuple[float, int]] = {}
 
         def offer(entry: Entry, cost: float):
             if cost <= self.bound:
                 best[entry.concept] = min(best.get(entry.concept, (9.0, 0)), (cost, -entry.frequency))
 
+        # Words that mean something cost EXTRA each where an entry lacks them, so a label of many more words
+        # than any candidate is beyond the bound without an alignment.
+        weighty = sum(1 for w in label if self.extra(w) >= EXTRA)
         for i in candidates:
-            offer(self.entries[i], self.score(label, self.entries[i]))
+            if (weighty - len(self.entries[i].words)) * EXTRA <= self.bound:
+                offer(self.entries[i], self.score(label, self.entries[i], elsewhere))
+        parts = [w for w in label if w not in JOINERS and w not in self.remarks]
+        joined = "".join(parts)
         if 5 <= len(joined) <= self.longest_whole + 1:
             for d in deletes(joined, 1):
                 for target, i in self.whole.get(d, ()):
@@ -199,49 +241,97 @@ class Canon:
                     if len(core) != len(parts) and (cost := distance(joined, target, 2.0)) <= 1.0 and not any(c.isdigit() for c in joined + target):
                         offer(self.entries[i], 0.2 * cost)
         out = min(((c, f, k) for k, (c, f) in best.items()), default=None)
-        result = (out[2], out[0]) if out else (UNMATCHED, 9.0)
-        self.cache[text] = result
-        if len(self.cache) > 100_000:
-            self.cache.popitem(last=False)
+        result = (out[2], out[0], -out[1]) if out else (UNMATCHED, 9.0, 0)
+        if not elsewhere:
+            if len(self.cache) > 200_000:
+                self.cache.clear()
+            self.cache[key] = result
         return result
 
 
-def reference_entries(concepts: DataFrame, most: int = 100_000) -> list[tuple[str, str, int]]:
-    """(text, concept, frequency) of each display name and alias; refused beyond `most` entries."""
-    flat = concepts.select("concept_id", F.coalesce("observed_occurrence_count", F.lit(0)).alias("n"), F.explode(F.array_union(F.array("display_name"), F.coalesce("observed_aliases", F.expr("cast(array() as array<string>)")))).alias("text")).where("text is not null")
-    rows = flat.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the reference list has more than {most} entries")
-    return [(r["text"], r["concept_id"], r["n"]) for r in rows]
+def entry_table(concepts: DataFrame) -> DataFrame:
+    """(text, concept, frequency) of each display name and alias of the catalogue."""
+    names = F.array_union(F.array("display_name"), F.coalesce("observed_aliases", F.expr("cast(array() as array<string>)")))
+    flat = concepts.select(F.explode(names).alias("text"), F.col("concept_id").alias("concept"), F.coalesce("observed_occurrence_count", F.lit(0)).alias("frequency"))
+    return flat.where("text is not null and concept is not null")
 
 
-def canonicalize(df: DataFrame, label: str, entries: list[tuple[str, str, int]], bound: float = 0.75, name: str = "concept_id") -> DataFrame:
-    """Adds `name` (a concept, or `unmatched`) and `match_cost` for each row.
+RESULT = "__label string, concept string, cost double, frequency int"
 
-    NULL and blank labels give NULLs in both. Every row is kept, repeated ones too. The dictionary is
-    sent to the executors once; labels are mapped where they are, so hot labels move nowhere.
-    """
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(entries)
-    fields = [f for f in df.schema if f.name not in (name, "match_cost")]
-    kept = [f.name for f in fields]
 
-    @F.pandas_udf(f"struct<{name}:string,match_cost:double>")
+def _lookup(labels: DataFrame, entries: list[tuple[str, str, int]], bound: float, lists: dict) -> DataFrame:
+    """(__label, n, concept, cost) of different labels, by one list that is sent to the executors once."""
+    shared = labels.sparkSession.sparkContext.broadcast(entries)
+
+    @F.pandas_udf("struct<concept:string,cost:double>")
     def lookup(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        canon = Canon(shared.value, bound)
-        for labels in batches:
-            seen = {}
-            for text in labels.unique():
-                seen[text] = canon.map(text) if isinstance(text, str) and text.strip() else (None, None)
-            pairs = [seen[t] for t in labels]
-            yield pd.DataFrame({name: [p[0] for p in pairs], "match_cost": pd.array([p[1] for p in pairs], dtype="Float64")})
+        canon = Canon(shared.value, bound, **lists)
+        for texts in batches:
+            done = [canon.map(t) for t in texts]
+            yield pd.DataFrame({"concept": [d[0] for d in done], "cost": [d[1] for d in done]})
+
+    return spread(labels).select("__label", "n", lookup("__label").alias("m")).select("__label", "n", "m.concept", "m.cost")
 
-    return spread(df.select(*kept)).select(*kept, lookup(F.col(label)).alias("__m")).select(*kept, f"__m.{name}", "__m.match_cost")
+
+def _lookup_blocks(labels: DataFrame, entries: DataFrame, count: int, bound: float, lists: dict, block: int) -> DataFrame:
+    """The same for longer lists: every label meets every block of the list, and the cheapest answer of all counts.
+
+    A word that stands in any block is no typo in the others, so the words of the labels first meet
+    those of the whole list. Labels are salted, so a group holds a block and a bounded part of the labels.
+    """
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(words)
+
+    blocks = -(-count // block)
+    salts = max(1, -(-labels.count() // block))
+    spelled = labels.select("__label", F.explode(F.array_distinct(split("__label"))).alias("w"))
+    there = entries.select(F.explode(split("text")).alias("w")).distinct()
+    known = spelled.join(there, "w", "left_semi").groupBy("__label").agg(F.collect_set("w").alias("known"))
+    left = labels.join(known, "__label", "left").select("__label", F.coalesce("known", F.expr("cast(array() as array<string>)")).alias("known"), F.pmod(F.xxhash64("__label"), F.lit(salts)).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = entries.select("text", "concept", F.col("frequency").cast("int"), F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        canon = Canon(zip(b["text"], b["concept"], b["frequency"]), bound, **lists)
+        rows = [(t, *canon.map(t, set(k) - canon.having.keys())) for t, k in zip(a["__label"], a["known"])]
+        return pd.DataFrame(rows, columns=["__label", "concept", "cost", "frequency"])
+
+    found = left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInPandas(run, RESULT)
+    best = found.groupBy("__label").agg(F.min(F.struct("cost", (-F.col("frequency")).alias("f"), "concept")).alias("b"))
+    return labels.join(best, "__label").select("__label", "n", "b.concept", "b.cost")
+
+
+def canonicalize(df: DataFrame, label: str, entries: DataFrame, bound: float = 0.75, name: str = "concept_id", notes: Collection[str] = NOTES, short: Mapping[str, tuple[str, ...]] = SHORT, block: int = BLOCK) -> DataFrame:
+    """Adds `name` (a concept, or `unmatched`) and `match_cost` for each row.
+
+    `entries` has the columns text, concept, frequency. NULL and blank labels give NULLs in both. Every
+    row is kept, repeated ones too; other columns are kept, but for those named like the added ones. A list of
+    more than `block` entries is searched in blocks, with the same answers.
+    """
+    spark = df.sparkSession
+    kept = [c for c in df.columns if c not in (name, "match_cost")]
+    rows = df.select(*kept, F.col(label).alias("__label"))
+    there = F.col("__label").rlike(r"[^\s]")
+    labels = rows.where(there).groupBy("__label").agg(F.count("*").alias("n"))
+    lists = {"notes": frozenset(notes), "short": dict(short)}
+    first = entries.limit(block + 1).collect()
+    if len(first) <= block:
+        mapped = _lookup(labels, [(r["text"], r["concept"], r["frequency"]) for r in first], bound, lists)
+    else:
+        entries = cut(entries.distinct())
+        mapped = _lookup_blocks(cut(labels), entries, entries.count(), bound, lists, block)
+    mapped = cut(mapped.select("__label", "n", F.col("concept").alias(name), F.col("cost").alias("match_cost")))
+    total = mapped.agg(F.sum("n")).first()[0] or 0
+    out = [*kept, name, "match_cost"]
+    hot = F.broadcast(mapped.where(F.col("n") * HOT_SHARE >= total).drop("n"))  # at most HOT_SHARE rows, as their shares add up to one
+    cold = mapped.where(F.col("n") * HOT_SHARE < total).drop("n")
+    named = rows.where(there)
+    blank = rows.where(~F.coalesce(there, F.lit(False))).select(*kept, F.lit(None).cast("string").alias(name), F.lit(None).cast("double").alias("match_cost"))
+    return named.join(hot, "__label").select(*out).unionByName(named.join(hot, "__label", "left_anti").join(cold, "__label").select(*out)).unionByName(blank)
 
 
 def p1_found(exams: DataFrame, concepts: DataFrame) -> DataFrame:
     """(entry_id, concept_id) of each entry whose label is no name of the catalogue as it stands."""
-    entries = reference_entries(concepts)
-    exact = sorted({t for t, _, _ in entries})
-    rest = exams.select("entry_id", "entered_label").where(F.col("entered_label").rlike(r"[^\s]") & ~F.col("entered_label").isin(exact))
+    entries = entry_table(concepts)
+    rest = exams.select("entry_id", "entered_label").where(F.col("entered_label").rlike(r"[^\s]")).join(entries.select(F.col("text").alias("entered_label")).distinct(), "entered_label", "left_anti")
     return canonicalize(rest, "entered_label", entries).select("entry_id", "concept_id")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from itertools import combinations
 
 
 def plain(text: str) -> str:
@@ -13,9 +12,10 @@ def plain(text: str) -> str:
 
 def deletes(token: str, distance: int) -> set[str]:
     """The token and all strings that up to `distance` deletions make of it."""
-    out = {token}
-    for d in range(1, min(distance, len(token) - 1) + 1):
-        out.update("".join(token[i] for i in kept) for kept in combinations(range(len(token)), len(token) - d))
+    out = level = {token}
+    for _ in range(min(distance, len(token) - 1)):
+        level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
+        out = out | level
     return out
 
 
@@ -37,32 +37,46 @@ def distance(a: str, b: str, most: float = 3.0) -> float:
     """Weighted restricted Damerau-Levenshtein distance; `most` + 1 once it must exceed `most`.
 
     Swapped neighbours, a letter doubled or undoubled, and neighbours on the keyboard cost less than
-    other edits.
+    other edits. Only the cells that a distance of `most` can reach are computed, so that long texts
+    cost in proportion to their length.
     """
     if a == b:
         return 0.0
-    if abs(len(a) - len(b)) * DOUBLED > most:
-        return most + 1
+    over = most + 1
+    n, m = len(a), len(b)
+    band = int(most / DOUBLED)
+    if abs(n - m) > band:
+        return over
     before2: list[float] = []
-    before = [0.0]
-    for j, c in enumerate(b):
-        before.append(before[-1] + (DOUBLED if j and b[j - 1] == c else OTHER))
-    for i, x in enumerate(a):
+    before = [0.0] + [over] * m
+    for j in range(min(m, band)):
+        before[j + 1] = before[j] + (DOUBLED if j and b[j - 1] == b[j] else OTHER)
+    for i in range(n):
+        x = a[i]
         drop = DOUBLED if i and a[i - 1] == x else OTHER
-        row = [before[0] + drop]
-        for j, y in enumerate(b):
+        row = [over] * (m + 1)
+        if i < band:
+            row[0] = before[0] + drop
+        low = row[0]
+        for j in range(max(0, i - band), min(m, i + band + 1)):
+            y = b[j]
             if x == y:
                 best = before[j]
             else:
                 best = before[j] + (NEAR if (x, y) in _NEAR else OTHER)
-            best = min(best, before[j + 1] + drop, row[j] + (DOUBLED if j and b[j - 1] == y else OTHER))
-            if i and j and x == b[j - 1] and a[i - 1] == y and x != y:
-                best = min(best, before2[j - 1] + SWAP)
-            row.append(best)
-        if min(row) > most and (not before2 or min(before) > most):
-            return most + 1
+            if (c := before[j + 1] + drop) < best:
+                best = c
+            if (c := row[j] + (DOUBLED if j and b[j - 1] == y else OTHER)) < best:
+                best = c
+            if i and j and x != y and x == b[j - 1] and a[i - 1] == y and (c := before2[j - 1] + SWAP) < best:
+                best = c
+            row[j + 1] = best
+            if best < low:
+                low = best
+        if low > most and (not before2 or min(before) > most):
+            return over
         before2, before = before, row
-    return before[-1]
+    return before[-1] if before[-1] <= most else over
 
 
 def assign(cost: list[list[float]]) -> tuple[float, list[int]]:

@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_misses(spark: SparkSession, folder: str) -> DataFrame:
     """Labels that stand for no concept, with how often they were entered, by channel."""
-    entries = canonical.reference_entries(table(spark, folder, "laboratory_concept"))
+    entries = canonical.entry_table(table(spark, folder, "laboratory_concept"))
     done = canonical.canonicalize(table(spark, folder, "exam_entry").select("entered_label", "entry_channel"), "entered_label", entries)
     return done.where(F.col("concept_id") == canonical.UNMATCHED).groupBy("entry_channel", "entered_label").agg(F.count("*").alias("entries"))
 
