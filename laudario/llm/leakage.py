@@ -1,14 +1,16 @@
 """Evaluation passages inside a corpus: latent semantic retrieval, then alignment.
 
-1. Statistics over all documents: document frequencies of the words of the evaluation items.
-2. A distributed randomised SVD of the TF-IDF passages of the corpus and the items. Each partition adds
-   up its share of A'(A R) for a random matrix R over its passages; the shares are summed in two
-   levels and orthonormalised on the driver. The matrix has one row a word of the items, so its size is
-   bounded by the evaluation set, not by the corpus.
-3. Every document, in whole, is cut into windows of `WINDOW` words, one every `STRIDE`; windows are
-   compared with those of the items by cosine in the latent space; words that no item has count nowhere,
-   whatever the size of the corpus. As a leak of 20 words holds a whole
-   window, no leak falls between two of them. Nothing is shuffled.
+1. Statistics over all documents: document frequencies of all words. The vocabulary of the latent space
+   is the words of the evaluation items and the `VOCABULARY` most frequent ones of the corpus.
+2. A distributed randomised SVD of TF-IDF passages: a random start, `POWER` rounds of power iteration
+   Z = A'(A Q) with Q orthonormal, then the projected matrix Q'A'AQ, whose eigenvectors turn Q into the
+   singular vectors. Partitions add up their shares of Z by blocks of words; what comes to the driver is
+   (VOCABULARY + words of a block of items) x (RANK + SPARE) numbers, whatever the corpus. This index
+   is fitted on the passages of at most `SAMPLE` different documents and of the items; it then covers all.
+3. Every document, in whole, is cut into windows of `WINDOW` words, one every `STRIDE`. Inverted lists of
+   the items' pairs of neighbouring words give the items that a document may hold: an alignment of score
+   s has s - 1 such pairs at least, and `PAIRS` of them lie within a window, so no window meets all items. These
+   windows are compared with the item's windows by cosine in the latent space. Nothing is shuffled.
 4. A candidate must share a longest common subsequence with the item, and its document and the item are
    then aligned locally by words. Scores in between are decided by an answer check: the numbers and
    rare words of the item's aligned part must be there.
@@ -16,8 +18,6 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,92 +27,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laudario.session import spread
+from laudario.llm import wordhash
+from laudario.session import cut, spread
 
 WINDOW, STRIDE = 16, 4
 ITEM_WINDOW, ITEM_STRIDE = 20, 4
-RANK = 256
+VOCABULARY = 12_000  # most frequent words of the corpus in the latent space, beside those of the items
+RANK, SPARE, POWER = 64, 16, 2
+SAMPLE = 20_000  # different documents whose passages the latent space is fitted on, at most
 SEED = 11
 COSINE = 0.55  # least latent cosine of a candidate window
 SUBSEQUENCE = 11  # least longest common subsequence of a candidate window with its item
 SURE, MAYBE = 18, 14  # alignment scores: a leak, and a leak if the answer check holds
-MOST_WORDS = 200_000  # words of the evaluation set; more are refused
-_STEP = 64  # documents at a time
-
-_WORD = re.compile(r"\w+(?:[.,]\w+)*")
-_SEPARATOR = re.compile(r"(?<=\d)[.,](?=\d)")
-_MARKS = {c: None for c in range(0x300, 0x370)} | dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
-
-
-def words(text: str) -> list[str]:
-    """Words in lower case without accents; numbers without their separators, as some layouts lose them. Layout and punctuation vanish."""
-    text = _SEPARATOR.sub("", text.lower())
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_MARKS)
-    return _WORD.findall(text)
+RARE_SHARE = 2000  # the answer check asks for words of at most this part of all documents
+PAIRS = 5  # a window of 16 words, 11 of them matched, has as many pairs of matched neighbours at least
+BLOCK_ITEMS, BLOCK_WORDS = 2_000, 200_000  # items searched at once; more are searched in blocks
+_STEP = 512  # documents at a time
 
 
 class Index:
-    """The evaluation items as word ids and windows."""
+    """A block of evaluation items as word ids and windows, and the vocabulary as sorted hashes."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, np.ndarray]], frequent: np.ndarray | None = None):
         self.ids = [i for i, _ in items]
-        self.vocabulary: dict[str, int] = {}
-        self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(t)], np.int32) for _, t in items]
-        if len(self.vocabulary) > MOST_WORDS:
-            raise ValueError(f"the evaluation set has more than {MOST_WORDS} words")
+        own = [w for _, w in items] + [np.zeros(0, np.uint64) if frequent is None else frequent]
+        self.hashes = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+        self.items = [np.searchsorted(self.hashes, w).astype(np.int32) for _, w in items]
         self.windows: list[tuple[int, np.ndarray]] = []
         for i, w in enumerate(self.items):
             last = max(0, len(w) - ITEM_WINDOW)
             for s in sorted({*range(0, last + 1, ITEM_STRIDE), last}):
                 if len(w[s : s + ITEM_WINDOW]):
                     self.windows.append((i, w[s : s + ITEM_WINDOW]))
-        self.owner = np.array([i for i, _ in self.windows], np.int32)
+        owner = np.array([i for i, _ in self.windows], np.int64)
+        self.first = np.searchsorted(owner, np.arange(len(self.items) + 1))
+        # Inverted lists: for each pair of neighbouring words the items that hold it. An item of one word is a pair with itself.
+        pairs = [np.unique(self.pair(w[:-1], w[1:]) if len(w) > 1 else self.pair(w, w)) for w in self.items]
+        word = np.concatenate([*pairs, np.zeros(0, np.int64)])
+        item = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs]).astype(np.int32)
+        order = np.argsort(word, kind="stable")
+        self.postings = item[order]
+        self.pairs, self.posting_start = np.unique(word[order], return_index=True)
+        self.posting_size = np.diff(np.append(self.posting_start, len(order)))
+        self.words_of = np.unique(np.concatenate([*[np.int64(i) * len(self.hashes) + w for i, w in enumerate(self.items)], np.zeros(0, np.int64)]))
+        self.least = np.array([min(SUBSEQUENCE, len(w)) for w in self.items], np.int32)
+        self.single = np.unique(np.concatenate([*[w for w in self.items if len(w) == 1], np.zeros(0, np.int32)]))
+        self.sure = np.array([sure(len(w)) for w in self.items], np.int32)
+        self.need = np.maximum(1, np.minimum(self.sure, MAYBE) - 1)
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.astype(np.int64) * (len(self.hashes) + 1) + b
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(word ids, -1 for words that are not in the vocabulary; first word of each text and the end)."""
+        hashes, bounds = wordhash.words(texts)
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int32), bounds
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1).astype(np.int32), bounds
+
+    def fit(self, counts: np.ndarray, documents: int) -> None:
+        self.idf = (np.log((documents + 1) / (counts + 1)) + 1).astype(np.float32)
+        self.rare = counts * RARE_SHARE <= documents
+
+    def project(self, vectors: np.ndarray) -> None:
+        """Item windows in the latent space, as unit vectors."""
+        self.basis = (vectors * self.idf[:, None]).astype(np.float32)
+        out = np.stack([self.basis[w].sum(0) for _, w in self.windows]) if self.windows else np.zeros((0, vectors.shape[1]), np.float32)
+        self.latent = (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-    def encode(self, text: str) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in words(text)], np.int32)
 
-    def fit(self, df_counts: np.ndarray, documents: int) -> None:
-        self.idf = np.log((documents + 1) / (df_counts + 1)).astype(np.float32) + 1
+def sure(length: int) -> int:
+    """The least score that makes an item a leak by itself: one shorter than that must be there as a whole, two words aside from nine on."""
+    return min(SURE, length - 2 if length > 8 else length)
 
-    def project(self, basis: np.ndarray) -> None:
-        """Item windows in the latent space, as unit vectors."""
-        self.basis = (basis * self.idf[:, None]).astype(np.float32)
-        out = np.stack([self.basis[w].sum(0) for _, w in self.windows]) if self.windows else np.zeros((0, basis.shape[1]), np.float32)
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        self.latent = (out / np.maximum(norm, 1e-9)).astype(np.float32)
-
-
-def _padded(arrays: list[np.ndarray], block: int) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays in a row, each filled up with -2 to whole blocks; and the first block of each."""
-    sizes = [-(-len(a) // block) for a in arrays]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.full(starts[-1] * block, -2, np.int32)
-    for a, s in zip(arrays, starts):
-        out[s * block : s * block + len(a)] = a
-    return out, starts
-
-
-def _sketch(index: Index, random: np.ndarray, arrays: list[np.ndarray], total: np.ndarray) -> None:
-    """Adds A'(A R) of the passages (blocks of WINDOW words) to `total`."""
-    flat, _ = _padded(arrays, WINDOW)
-    if not len(flat):
-        return
-    known = np.flatnonzero(flat >= 0)
+
+def gram_share(ids: np.ndarray, bounds: np.ndarray, idf: np.ndarray, q: np.ndarray, total: np.ndarray) -> None:
+    """Adds A'(A Q) of the passages (blocks of WINDOW words) of some texts to `total`."""
+    known = np.flatnonzero(ids >= 0)
     if not len(known):
         return
-    ids, block = flat[known], known // WINDOW
-    weight = index.idf[ids]
-    values = random[ids] * weight[:, None]
-    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    sums = np.add.reduceat(values, first, axis=0)
-    where = np.cumsum(np.r_[False, block[1:] != block[:-1]])
-    order = np.argsort(ids, kind="stable")
-    back = sums[where[order]] * weight[order, None]
-    sorted_ids = ids[order]
-    cut = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
-    total[sorted_ids[cut]] += np.add.reduceat(back, cut, axis=0)
+    text = np.searchsorted(bounds, known, side="right") - 1
+    # passages are numbered through all texts
+    sizes = -(-np.diff(bounds) // WINDOW)
+    passage = (np.concatenate([[0], np.cumsum(sizes)])[text] + (known - bounds[text]) // WINDOW).astype(np.int64)
+    word = ids[known]
+    weight = idf[word]
+    new = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+    sums = np.add.reduceat(q[word] * weight[:, None], new, axis=0)
+    where = np.cumsum(np.concatenate([[False], passage[1:] != passage[:-1]]))
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    total[word[starts]] += np.add.reduceat(sums[where[order]] * weight[order, None], starts, axis=0)
+
+
+def orthonormal(y: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of the columns, by two rounds over the small matrix of their products."""
+    for _ in range(2):
+        values, turn = np.linalg.eigh((y.T @ y).astype(np.float64))
+        good = values > max(values[-1], 0) * 1e-10
+        if not good.any():
+            return np.zeros((len(y), 0), np.float32)
+        y = (y @ (turn[:, good] / np.sqrt(values[good]))).astype(np.float32)
+    return y
 
 
 def subsequence(a: list[int], bits: dict[int, int], size: int) -> int:
@@ -135,14 +153,20 @@ def align(regions: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     doc = np.full((len(regions), height), -2, np.int32)
     for r, w in enumerate(regions):
         doc[r, : len(w)] = w
-    h = np.zeros((len(items), width + 1), np.float32)
-    best = np.zeros(len(items), np.float32)
-    step = np.arange(width + 1, dtype=np.float32)
+    # Scores are at most the length of an item or a text, and small numbers take few bytes.
+    kind = np.int16 if width < 30_000 else np.int32
+    h = np.zeros((len(items), width + 1), kind)
+    best = np.zeros(len(items), kind)
+    step = np.arange(width + 1, dtype=kind)
     for k in range(height):
         new = np.zeros_like(h)
-        np.maximum(h[:, :-1] + np.where(it == doc[:, k : k + 1], np.float32(1), np.float32(-1)), h[:, 1:] - 1, out=new[:, 1:])
+        gain = ((it == doc[:, k : k + 1]).astype(np.int8) << 1) - 1
+        np.maximum(h[:, :-1] + gain, h[:, 1:] - 1, out=new[:, 1:])
         np.maximum(new, 0, out=new)
-        h = np.maximum.accumulate(new + step, axis=1) - step
+        new += step
+        np.maximum.accumulate(new, axis=1, out=new)
+        new -= step
+        h = new
         np.maximum(best, h.max(1), out=best)
     return best
 
@@ -175,65 +199,97 @@ def answers(region: np.ndarray, item: np.ndarray, rare: np.ndarray) -> bool:
 class Searcher:
     """Finds the items that documents hold; one for each Python worker."""
 
-    def __init__(self, index: Index, rare: np.ndarray):
+    def __init__(self, index: Index):
         self.x = index
-        self.rare = rare
         self.bits = []
         for w in index.items:
             b: dict[int, int] = defaultdict(int)
             for p, v in enumerate(w.tolist()):
                 b[v] |= 1 << p
             self.bits.append(dict(b))
-        self.energy = index.idf**2
-        self.least = min([SUBSEQUENCE, *map(len, index.items)])
 
-    def candidates(self, arrays: list[np.ndarray]) -> dict[tuple[int, int], list[int]]:
-        """(document, item) -> first words of the windows that are near a window of the item."""
-        x, parts = self.x, WINDOW // STRIDE
-        flat, starts = _padded(arrays, STRIDE)
+    def hits(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, place) of the word pairs that texts share with items, where a text and an item share enough in all and `PAIRS` from there on within a window."""
+        x = self.x
+        none = np.zeros(0, np.int64)
+        if not len(ids):
+            return none, none, none
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        both = (ids[:-1] >= 0) & (ids[1:] >= 0) & (text[:-1] == text[1:])
+        place = np.flatnonzero(both)
+        key = x.pair(ids[place], ids[place + 1])
+        if len(x.single):
+            alone = np.flatnonzero(np.isin(ids, x.single))
+            place, key = np.concatenate([place, alone]), np.concatenate([key, x.pair(ids[alone], ids[alone])])
+        if not len(place) or not len(x.pairs):
+            return none, none, none
+        at = np.minimum(np.searchsorted(x.pairs, key), len(x.pairs) - 1)
+        there = x.pairs[at] == key
+        at, place = at[there], place[there]
+        size = x.posting_size[at]
+        flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(x.posting_start[at], size)
+        place, item = np.repeat(place, size), x.postings[flat].astype(np.int64)
+        # Only pairs that share enough in all, and of these the places where a window's length holds enough.
+        both = text[place] * len(x.items) + item
+        order = np.lexsort((place, both))
+        both, place, item = both[order], place[order], item[order]
+        first = np.searchsorted(both, both, side="left")
+        enough = np.searchsorted(both, both, side="right") - first >= x.need[item]
+        line = both * (len(ids) + WINDOW) + place
+        dense = np.searchsorted(line, line + WINDOW - 1, side="left") - np.arange(len(line)) >= np.minimum(PAIRS, x.need[item])
+        keep = enough & dense
+        return text[place[keep]], item[keep], place[keep]
+
+    def candidates(self, ids: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], list[int]]:
+        """(text, item) -> first words of the windows that hold a shared pair and are near a window of the item."""
+        x = self.x
         found: dict[tuple[int, int], list[int]] = defaultdict(list)
-        if not len(flat):
+        text, item, place = self.hits(ids, bounds)
+        if not len(text):
             return found
-        owner = np.repeat(np.arange(len(arrays)), np.diff(starts))
-        known = flat >= 0
-        safe = np.where(known, flat, 0)
-        inside = np.where(known, self.energy[safe], 0).reshape(-1, STRIDE).sum(1)
-        count = known.reshape(-1, STRIDE).sum(1)
-        n = len(inside)
-        into = np.minimum(np.arange(n)[:, None] + np.arange(parts), n - 1)
-        same = (owner[into] == owner[:, None]) & (np.arange(n)[:, None] + np.arange(parts) < n)
-        energy, hits = (inside[into] * same).sum(1), (count[into] * same).sum(1)
-        # Words that no item has count nowhere, so that nothing here grows stricter with the corpus. A window
-        # with fewer words of the items than the common subsequence needs can't pass it.
-        keep = np.flatnonzero(hits >= self.least)
-        if not len(keep):
+        # The windows that begin at the place's block of STRIDE words, at the one before and the one after.
+        start = (((place - bounds[text]) // STRIDE)[:, None] + np.array([-1, 0, 1])).ravel() * STRIDE
+        item, text = np.repeat(item, 3), np.repeat(text, 3)
+        inside = (start >= 0) & (start < np.diff(bounds)[text])
+        longest = int(np.diff(bounds).max()) + 1
+        code = np.unique(((item * len(bounds) + text) * longest + start)[inside])
+        start, code = code % longest, code // longest
+        item, text = code // len(bounds), code % len(bounds)
+        # Windows with fewer of the item's words than the common subsequence needs can't pass it.
+        place = bounds[text] + start
+        at = place[:, None] + np.arange(WINDOW)
+        word = np.where(at < bounds[1:][text][:, None], ids[np.minimum(at, len(ids) - 1)], -1)
+        wanted = item[:, None] * len(x.hashes) + word
+        has = (x.words_of[np.minimum(np.searchsorted(x.words_of, wanted), len(x.words_of) - 1)] == wanted) & (word >= 0)
+        keep = has.sum(1) >= x.least[item]
+        if not keep.any():
             return found
-        need = np.unique(into[keep][same[keep]])
-        rows = np.full(n, -1)
-        rows[need] = np.arange(len(need))
-        words_ = (need[:, None] * STRIDE + np.arange(STRIDE)).ravel()
-        vec = x.basis[safe[words_]] * known[words_, None]
-        vec = vec.reshape(len(need), STRIDE, -1).sum(1)
-        vec = np.vstack([vec, np.zeros((1, vec.shape[1]), vec.dtype)])
-        at = np.where(same[keep], rows[into[keep]], len(need))
-        for b in range(0, len(keep), 1024):
-            part = keep[b : b + 1024]
-            windows = vec[at[b : b + 1024]].sum(1)
-            near = windows @ x.latent.T
-            r, c = np.nonzero(near >= COSINE * np.sqrt(energy[part])[:, None])
-            d = owner[part[r]]
-            s = (part[r] - starts[d]) * STRIDE
-            for key in set(zip(d.tolist(), x.owner[c].tolist(), s.tolist())):
-                found[key[:2]].append(key[2])
+        item, text, start, place, word = item[keep], text[keep], start[keep], place[keep], word[keep]
+        # A window that leads to several items is projected once.
+        _, one, back = np.unique(place, return_index=True, return_inverse=True)
+        different, word = place[one], word[one]
+        unit = np.empty((len(different), x.basis.shape[1]), np.float32)
+        for b in range(0, len(different), 4096):
+            part = word[b : b + 4096]
+            sums = (x.basis[np.maximum(part, 0)] * (part >= 0)[:, :, None]).sum(1)
+            unit[b : b + 4096] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+        vec = unit[back]
+        edges = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1], [True]]))
+        for a, b in zip(edges[:-1], edges[1:]):
+            i = int(item[a])
+            near = (vec[a:b] @ x.latent[x.first[i] : x.first[i + 1]].T).max(1)
+            for k in np.flatnonzero(near >= COSINE):
+                found[int(text[a + k]), i].append(int(start[a + k]))
         return found
 
-    def search(self, arrays: list[np.ndarray]) -> list[tuple[int, int, float]]:
-        """(document, item, score) of each leak."""
+    def search(self, ids: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float]]:
+        """(text, item, score) of each leak."""
         pairs, regions, items = [], [], []
-        lists = [a.tolist() for a in arrays]
-        for (d, i), starts in self.candidates(arrays).items():
+        for (d, i), starts in self.candidates(ids, bounds).items():
+            own = ids[bounds[d] : bounds[d + 1]]
+            as_list = own.tolist()
             size = len(self.x.items[i])
-            good = [s for s in starts if subsequence(lists[d][s : s + WINDOW], self.bits[i], size) >= min(SUBSEQUENCE, size)]
+            good = [s for s in starts if subsequence(as_list[s : s + WINDOW], self.bits[i], size) >= min(SUBSEQUENCE, size)]
             if good:
                 # windows far apart are separate places; each is aligned with room for the whole item
                 good.sort()
@@ -241,7 +297,7 @@ class Searcher:
                 for s in [*good[1:], None]:
                     if s is None or s - group[-1] > size:
                         pairs.append((d, i))
-                        regions.append(arrays[d][max(0, group[0] - size - 8) : group[-1] + WINDOW + size + 8])
+                        regions.append(own[max(0, group[0] - size - 8) : group[-1] + WINDOW + size + 8])
                         items.append(self.x.items[i])
                         group = []
                     group.append(s)
@@ -251,117 +307,178 @@ class Searcher:
             some = order[b : b + 512]
             for k, score in zip(some, align([regions[k] for k in some], [items[k] for k in some])):
                 # an item shorter than the sure score leaks when it is there as a whole
-                if score >= min(SURE, len(items[k]) - 2) or score >= MAYBE and answers(regions[k], items[k], self.rare):
+                if score >= self.x.sure[pairs[k][1]] or score >= MAYBE and answers(regions[k], items[k], self.x.rare):
                     out[pairs[k]] = max(float(score), out.get(pairs[k], 0))
         return [(d, i, s) for (d, i), s in out.items()]
 
 
-def _texts(batch: pa.RecordBatch, index: Index, column: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    texts = batch.column(column)
-    for b in range(0, len(texts), _STEP):
-        yield b, [index.encode(t) if t else np.zeros(0, np.int32) for t in texts.slice(b, _STEP).to_pylist()]
+def _signed(hashes: np.ndarray) -> pa.Array:
+    return pa.array(hashes.view(np.int64))
 
 
-def document_frequencies(documents: DataFrame, text: str, index: Index) -> tuple[np.ndarray, int]:
-    """Documents that hold each word of the items, and all documents; counted over the whole corpus."""
-    shared = documents.sparkSession.sparkContext.broadcast(index)
+def document_frequencies(documents: DataFrame, text: str) -> DataFrame:
+    """(word, n): the documents that hold each word, counted over the whole corpus; word 0 stands for all documents.
 
-    def run(batches):
-        x = shared.value
-        n, count = 0, np.zeros(len(x.vocabulary), np.int64)
-        for batch in batches:
-            for _, arrays in _texts(batch, x, 0):
-                n += len(arrays)
-                for a in arrays:
-                    count[np.unique(a[a >= 0])] += 1
-        hit = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, hit].astype(np.int32)), pa.array(np.r_[n, count[hit]])], names=["word", "n"])
-
-    rows = spread(documents.select(text)).mapInArrow(run, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(len(index.vocabulary), np.int64)
-    total = 0
-    for r in rows:
-        if r["word"] < 0:
-            total = r["n"]
-        else:
-            counts[r["word"]] = r["n"]
-    return counts, total
+    Each partition adds up what it has seen and hands on at most a million words at a time.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, parts, held = 0, [], 0
 
-def latent_basis(documents: DataFrame, text: str, index: Index, rank: int = RANK, blocks: int = 16) -> np.ndarray:
-    """Orthonormal basis (words x rank) of the latent space of the corpus's and the items' passages."""
-    d = len(index.vocabulary)
-    rank = min(rank, d)
-    shared = documents.sparkSession.sparkContext.broadcast(index)
-    edges = np.linspace(0, d, blocks + 1).astype(int)
+        def flush() -> pa.RecordBatch:
+            every = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
+            word, back = np.unique(every, return_inverse=True)
+            n = np.bincount(back, np.concatenate([p[1] for p in parts] or [np.zeros(0)]), len(word)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([_signed(np.concatenate([[np.uint64(0)], word]).astype(np.uint64)), pa.array(np.concatenate([[documents], n]))], names=["word", "n"])
 
-    def random() -> np.ndarray:
-        return np.random.default_rng(SEED).standard_normal((d, rank), dtype=np.float32)
-
-    def run(batches):
-        x, r = shared.value, random()
-        total, any_ = np.zeros((d, rank), np.float32), False
-        salt = 0
         for batch in batches:
-            for _, arrays in _texts(batch, x, 0):
-                salt ^= sum(map(len, arrays))
-                _sketch(x, r, arrays, total)
-                any_ = True
-        if any_:
-            for b in range(blocks):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([salt % 97], pa.int32()), pa.array([total[edges[b] : edges[b + 1]].tobytes()], pa.binary())], names=["block", "salt", "share"])
-
-    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(len(pdf["share"].iloc[0]) // 4, np.float32)
-        for s in pdf["share"]:
-            out += np.frombuffer(s, np.float32)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [0], "share": [out.tobytes()]})
-
-    schema = "block int, salt int, share binary"
-    shares = spread(documents.select(text)).mapInArrow(run, schema)
-    shares = shares.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-    total = np.zeros((d, rank), np.float32)
-    for r in shares.collect():
-        total[edges[r["block"]] : edges[r["block"] + 1]] = np.frombuffer(r["share"], np.float32).reshape(-1, rank)
-    own = np.zeros((d, rank), np.float32)
-    for s in range(0, WINDOW, STRIDE):
-        _sketch(index, random(), [w[s:] for w in index.items], own)
-    # The items' own passages weigh as much as the corpus, so that their rare words are in the space.
-    a, b = np.linalg.norm(total), np.linalg.norm(own)
-    both = total / max(a, 1e-9) + own / max(b, 1e-9)
-    return np.linalg.qr(both.astype(np.float64))[0].astype(np.float32)
-
-
-def leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", most_items: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, score) of every document that holds a passage of an item.
-
-    NULL, empty and blank texts hold and leak nothing; copies count each. The items are collected to
-    the driver and refused beyond `most_items`.
+            for b in range(0, batch.num_rows, 1024):
+                some = batch.column(0).slice(b, 1024)
+                documents += len(some)
+                hashes, bounds = wordhash.words(some)
+                word, back = np.unique(hashes, return_inverse=True)
+                owner = np.repeat(np.arange(len(some)), np.diff(bounds))
+                once = np.unique(owner * max(1, len(word)) + back) % max(1, len(word))
+                parts.append((word, np.bincount(once, minlength=len(word))))
+                held += len(word)
+                if held > 1_000_000:
+                    yield flush()
+                    documents, parts, held = 0, [], 0
+        yield flush()
+
+    return spread(documents.select(text)).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def sample_of(documents: DataFrame, text: str, total: int, sample: int) -> DataFrame:
+    """At most about `sample` different texts, by a bound on their hash."""
+    bound = int(min(1.0, sample / max(total, 1)) * 1_000_003)
+    return documents.where(F.length(text) > 0).select(F.col(text).alias("text")).where(F.pmod(F.xxhash64(F.lit(SEED), F.col("text")), F.lit(1_000_003)) <= bound).distinct()
+
+
+def singular_vectors(passages: DataFrame, index: Index, own: tuple[np.ndarray, np.ndarray], rank: int = RANK, spare: int = SPARE, power: int = POWER, blocks: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(words x rank right singular vectors, singular values) of the TF-IDF passages of the encoded texts and the items.
+
+    `passages` has the columns ids and bounds, little-endian numbers as binary; `own` are the items' word ids
+    and bounds. The items' passages weigh as much as the corpus, so that their rare words are in the space.
     """
-    rows = items.select(item_key, item_text).where(F.col(item_text).isNotNull()).orderBy(item_key).limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"there are more than {most_items} items")
-    index = Index([(r[0], r[1]) for r in rows if words(r[1])])
+    d = len(index.hashes)
+    k = min(rank + spare, d)
+    context = passages.sparkSession.sparkContext
+    edges = np.linspace(0, d, blocks + 1).astype(int)
+    idf = context.broadcast(index.idf)
+
+    def step(q: np.ndarray) -> np.ndarray:
+        shared = context.broadcast(q)
+
+        def run(batches):
+            basis, total, any_, salt = shared.value, np.zeros_like(shared.value), False, 0
+            for batch in batches:
+                for ids, bounds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    gram_share(np.frombuffer(ids, np.int32), np.frombuffer(bounds, np.int64), idf.value, basis, total)
+                    any_, salt = True, salt ^ len(ids)
+            if any_:
+                for b in range(blocks):
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([salt % 97], pa.int32()), pa.array([total[edges[b] : edges[b + 1]].tobytes()], pa.binary())], names=["block", "salt", "share"])
+
+        def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            out = np.zeros(len(pdf["share"].iloc[0]) // 4, np.float32)
+            for s in pdf["share"]:
+                out += np.frombuffer(s, np.float32)
+            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "salt": [0], "share": [out.tobytes()]})
+
+        schema = "block int, salt int, share binary"
+        shares = passages.select("ids", "bounds").mapInArrow(run, schema)
+        shares = shares.groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
+        total = np.zeros(q.shape, np.float32)
+        for r in shares.collect():  # `blocks` rows of words x (rank + spare) numbers together
+            total[edges[r["block"]] : edges[r["block"] + 1]] = np.frombuffer(r["share"], np.float32).reshape(-1, q.shape[1])
+        shared.unpersist()
+        mine = np.zeros(q.shape, np.float32)
+        gram_share(*own, index.idf, q, mine)
+        a, b = np.linalg.norm(total), np.linalg.norm(mine)
+        return total + mine * (a / b if a and b else 1.0)
+
+    y = np.random.default_rng(SEED).standard_normal((d, k), dtype=np.float32)
+    for _ in range(power):
+        y = step(orthonormal(y))
+    q = orthonormal(y)
+    z = step(q)
+    values, turn = np.linalg.eigh((q.T @ z).astype(np.float64))
+    order = np.argsort(-values)[:rank]
+    return (q @ turn[:, order]).astype(np.float32), np.sqrt(np.maximum(values[order], 0))
+
+
+def _blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The items in blocks of bounded size, read one partition at a time; items without a word are left out."""
+    block, held = [], 0
+    for row in items.where(F.col(item_text).isNotNull()).select(item_key, item_text).orderBy(item_key).toLocalIterator():
+        hashes, _ = wordhash.words(pa.array([row[1]]))
+        if not len(hashes):
+            continue
+        if block and (len(block) >= BLOCK_ITEMS or held + len(hashes) > BLOCK_WORDS):
+            yield block
+            block, held = [], 0
+        block.append((row[0], hashes))
+        held += len(hashes)
+    if block:
+        yield block
+
+
+def fit(documents: DataFrame, text: str, counts: DataFrame, block: list[tuple[int, np.ndarray]], total: int, frequent: np.ndarray, sample: DataFrame) -> Index:
+    """The index of a block of items: document frequencies of its vocabulary and the latent space."""
     spark = documents.sparkSession
-    if not index.ids:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, score double")
-    counts, total = document_frequencies(documents, text, index)
-    index.fit(counts, total)
-    index.project(latent_basis(documents, text, index))
-    rare = np.array([any(c.isdigit() for c in w) for w in index.vocabulary]) | (counts <= max(3, total // 2000))
-    shared = spark.sparkContext.broadcast((index, rare))
+    index = Index(block, frequent)
+    wanted = spark.createDataFrame(pd.DataFrame({"word": index.hashes.view(np.int64)}))  # bounded by VOCABULARY and BLOCK_WORDS
+    n = np.zeros(len(index.hashes), np.int64)
+    for r in counts.join(F.broadcast(wanted), "word").collect():
+        n[np.searchsorted(index.hashes, np.int64(r["word"]).view(np.uint64))] = r["n"]
+    index.fit(n, total)
+    shared = spark.sparkContext.broadcast(index)
 
     def run(batches):
-        index, rare = shared.value
-        searcher = Searcher(index, rare)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            found = []
-            for b, arrays in _texts(batch, index, 1):
-                found += [(keys[b + d], index.ids[i], s) for d, i, s in searcher.search(arrays)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["doc_id", "item_id", "score"])
+            for b in range(0, batch.num_rows, _STEP):
+                ids, bounds = shared.value.encode(batch.column(0).slice(b, _STEP))
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([bounds.astype(np.int64).tobytes()], pa.binary())], names=["ids", "bounds"])
+
+    encoded = cut(sample.mapInArrow(run, "ids binary, bounds binary"))
+    shifts = [w[s:] for s in range(0, WINDOW, STRIDE) for w in index.items]
+    own = np.concatenate(shifts), np.concatenate([[0], np.cumsum([len(w) for w in shifts])])
+    index.project(singular_vectors(encoded, index, own)[0])
+    return index
 
-    return spread(documents.select(F.col(key).cast("bigint"), text).where(F.length(text) > 0)).mapInArrow(run, "doc_id bigint, item_id bigint, score double")
+
+def leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, score) of every document that holds a passage of an item.
+
+    NULL, empty and blank texts hold and leak nothing; copies count each. Items come to the driver in
+    blocks of bounded size; each block is searched against all documents.
+    """
+    spark = documents.sparkSession
+    schema = "doc_id bigint, item_id bigint, score double"
+    counts, total, out = None, 0, None
+    for block in _blocks(items, item_key, item_text):
+        if counts is None:
+            counts = cut(document_frequencies(documents, text))
+            total = counts.where("word = 0").agg(F.sum("n")).first()[0] or 0
+            top = counts.where("word != 0").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+            frequent = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+            sample = cut(sample_of(documents, text, total, SAMPLE))
+        shared = spark.sparkContext.broadcast(fit(documents, text, counts, block, total, frequent, sample))
+
+        def run(batches, shared=shared):
+            index = shared.value
+            searcher = Searcher(index)
+            for batch in batches:
+                keys = batch.column(0)
+                for b in range(0, batch.num_rows, _STEP):
+                    found = searcher.search(*index.encode(batch.column(1).slice(b, _STEP)))
+                    if found:
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array([b + d for d, _, _ in found])).cast(pa.int64()), pa.array([index.ids[i] for _, i, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64())], names=["doc_id", "item_id", "score"])
+
+        part = spread(documents.select(F.col(key).cast("bigint"), text).where(F.length(text) > 0)).mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema)
 
 
 def p7_found(documents: DataFrame, items: DataFrame) -> DataFrame:
