@@ -30,39 +30,54 @@ def aliases(concepts: DataFrame) -> DataFrame:
     return keys
 
 
+CULTURE = "microbiology-culture"
+
+
 def anchored(lines: DataFrame, concepts: DataFrame) -> DataFrame:
     """Active lines with the exam they belong to: anchor line, concept, `reason` where there is none.
 
-    A label that is a component of the exam opened before it on the page opens no exam of its own, and
-    neither does the name of that exam again before a result or material.
+    A line whose label is a catalogue name opens an exam unless, in view of the exam opened last on the page,
+    its label is a component of that exam, or `CULTURAL` within a culture, or names that exam again
+    while neither its anchor line states a result nor a `MATERIAL` line stands between. As each decision depends on
+    the one before, the page's catalogue lines, which are few, are folded in their order.
     """
     active = lines.where("disposition = 'Active'").select("document_id", "page_number", "line_id", "line_key", "source_index", "text")
     active = active.withColumn("label_key", T.normalize_label(T.literal_label(F.col("text"))))
-    hit = active.join(small_side(aliases(concepts)).withColumnRenamed("concept_id", "own_concept").withColumnRenamed("structural_form_id", "own_form"), active["label_key"] == F.col("key"), "left").drop("key")
-    parts = concepts.select(F.col("concept_id").alias("last_hit"), F.transform("observed_components", lambda x: T.normalize_label(x)).alias("parts")).where(F.size("parts") > 0)
+    parts = concepts.select("concept_id", F.explode("observed_components").alias("p")).select("concept_id", T.normalize_label(F.col("p")).alias("key")).groupBy("key").agg(F.collect_set("concept_id").alias("part_of"))
+    names = aliases(concepts).withColumnRenamed("concept_id", "own_concept").withColumnRenamed("structural_form_id", "own_form").join(parts, "key", "left")
+    hit = active.repartition("document_id").join(small_side(names), active["label_key"] == F.col("key"), "left").drop("key")
     w = W.partitionBy("document_id", "page_number").orderBy("source_index", "line_id")
-    upto, before = w.rowsBetween(W.unboundedPreceding, W.currentRow), w.rowsBetween(W.unboundedPreceding, -1)
-    df = hit.withColumn("last_hit", F.last("own_concept", ignorenulls=True).over(before)).join(small_side(parts), "last_hit", "left")
-    inner = F.coalesce(F.array_contains("parts", F.col("label_key")), F.lit(False))
-    states = T.result_segment(F.col("text")).rlike(r"\S") | F.col("label_key").isin("MATERIAL")
-    since = F.coalesce(F.max(F.when(states & F.col("own_concept").isNull(), F.col("source_index"))).over(before), F.lit(-1))
-    df = df.withColumn("prior_place", F.max(F.when(F.col("own_concept").isNotNull(), F.col("source_index"))).over(before)).withColumn("since", since)
-    again = F.coalesce((F.col("own_concept") == F.col("last_hit")) & (F.col("since") < F.col("prior_place")), F.lit(False))
-    df = df.withColumn("opens", F.col("own_concept").isNotNull() & ~inner & ~again)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = F.coalesce(F.count(F.when(F.col("label_key") == "MATERIAL", 1)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    named = F.struct(
+        "line_key", F.col("own_concept").alias("concept"), F.col("own_form").alias("form"), "label_key", F.coalesce("part_of", F.expr("cast(array() as array<string>)")).alias("part_of"),
+        F.col("text").rlike(r"(?s)^[^:]*:.*\S").alias("result"), F.col("material").alias("material"),
+    )
+    df = hit.withColumn("material", before)
+    df = df.withColumn("named", F.collect_list(F.when(F.col("own_concept").isNotNull(), named)).over(whole))
+    last = "element_at(acc, -1)"
+    again = f"{last}.concept = x.concept AND x.material = {last}.material AND NOT {last}.result"
+    fold = f"""aggregate(named, slice(named, 1, 0), (acc, x) -> CASE WHEN size(acc) > 0 AND (
+        array_contains(x.part_of, {last}.concept) OR ({last}.form = '{CULTURE}' AND x.label_key = 'CULTURAL') OR ({again})) THEN acc ELSE concat(acc, array(x)) END)"""
+    # Only the page's catalogue lines look at the fold.
+    opens = F.expr(f"exists({fold}, x -> x.line_key = line_key)")
+    df = df.withColumn("opens", F.when(F.col("own_concept").isNotNull(), F.coalesce(opens, F.lit(False))).otherwise(False))
     anchor = F.when(F.col("opens"), F.struct("line_key", F.col("own_concept").alias("concept_id"), F.col("own_form").alias("form")))
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     return df.withColumn("anchor", F.last(anchor, ignorenulls=True).over(upto)).select("document_id", "page_number", "line_id", "line_key", "source_index", "text", "label_key", "opens", F.col("anchor.line_key").alias("anchor_key"), F.col("anchor.concept_id").alias("concept_id"), F.col("anchor.form").alias("form"))
 
 
 def continued(anchors: DataFrame) -> DataFrame:
-    """Lines before a page's first exam go to the last exam of the page before, if it may go on; else they keep a reason."""
-    page = anchors.groupBy("document_id", "page_number").agg(
-        F.max_by(F.struct("anchor_key", "concept_id", "form"), F.struct("source_index", "line_id")).alias("tail"), F.min_by("label_key", F.struct("source_index", "line_id")).alias("first_label"), F.max(F.col("opens")).alias("any_anchor"),
-    )
-    w = W.partitionBy("document_id").orderBy("page_number")
-    page = page.withColumn("prev", F.lag("tail").over(w)).withColumn("prev_page", F.lag("page_number").over(w))
-    can = (F.col("prev.anchor_key").isNotNull()) & (F.col("prev_page") == F.col("page_number") - 1) & ((F.col("prev.form") == PANEL) | F.col("first_label").startswith("MATERIAL"))
-    page = page.select("document_id", "page_number", "any_anchor", F.when(can, F.col("prev")).alias("carry"))
-    df = anchors.join(page, ["document_id", "page_number"])
+    """Lines before a page's first exam go to the last exam of the page before, if it may go on; else they keep a reason.
+
+    All of it is windows over the documents that `anchored` has brought together.
+    """
+    page = W.partitionBy("document_id", "page_number")
+    previous = W.partitionBy("document_id").orderBy("page_number").rangeBetween(-1, -1)
+    df = anchors.withColumn("prev", F.max(F.struct("source_index", "line_id", "anchor_key", "concept_id", "form")).over(previous))
+    df = df.withColumn("first_label", F.min(F.struct("source_index", "line_id", "label_key")).over(page)["label_key"]).withColumn("any_anchor", F.max("opens").over(page))
+    can = F.col("prev.anchor_key").isNotNull() & ((F.col("prev.form") == PANEL) | (F.col("first_label") == "MATERIAL"))
+    df = df.withColumn("carry", F.when(can, F.col("prev")))
     own = F.coalesce("anchor_key", "carry.anchor_key")
     reason = F.when(own.isNull(), F.when(F.col("any_anchor"), "PrefixWithoutSafeContext").otherwise("NoKnownAnchor"))
     return df.select("document_id", "page_number", "line_id", "line_key", "source_index", "text", "label_key", "opens", own.alias("anchor_key"), F.coalesce("concept_id", "carry.concept_id").alias("concept_id"), F.coalesce("form", "carry.form").alias("form"), reason.alias("reason"))

@@ -29,12 +29,18 @@ def p2_coverage(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p2_unread(spark: SparkSession, folder: str) -> DataFrame:
+    """By concept: unit texts that are stated and that no reading explains."""
+    catalogue = units.common_units(table(spark, folder, "laboratory_concept"), table(spark, folder, "concept_molar_mass"))
+    return units.unread(table(spark, folder, "lab_observation"), concept="concept_id", value="raw_value", unit="raw_unit", catalogue=catalogue)
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return nested.links(table(spark, folder, "nested_record"))
 
 
 def p3_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, roots and deepest level of each flat table, by schema path."""
+    """Rows, roots and last ordinal of each flat table, by schema path."""
     nodes = nested.label_nodes(table(spark, folder, "nested_record"), scalars=False)
     return nodes.groupBy("schema_path", "node_kind").agg(
         F.count("*").alias("rows"),
@@ -43,5 +49,18 @@ def p3_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_coverage": p2_coverage, "p3_found": p3_found, "p3_tables": p3_tables}
+def _flat(kind: str):
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        return nested.flat_table(nested.label_nodes(table(spark, folder, "nested_record")), kind)
+
+    return run
+
+
+def p3_others(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables of all arrays of objects that are not known by name where they stand."""
+    return nested.other_tables(nested.label_nodes(table(spark, folder, "nested_record")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_coverage": p2_coverage, "p2_unread": p2_unread, "p3_found": p3_found, "p3_tables": p3_tables, "p3_others": p3_others}
+QUERIES |= {f"p3_{kind}s": _flat(kind) for kind in ("patient", "episode", "occurrence", "observation", "page", "line", "cell", "word")}
 SQL: dict[str, str] = {}

@@ -37,21 +37,25 @@ QUERIES = {f.__name__: f for f in (catalog_aliases, anchor_segmentation, line_ro
 
 _SEG = T.sql_result_segment("text")
 _KEYS = f"""
-    WITH keys AS (SELECT DISTINCT {T.sql_normalize_label('n')} AS key, concept_id, structural_form_id FROM (SELECT concept_id, structural_form_id, unnest(list_append(coalesce(observed_aliases, []), display_name)) AS n FROM laboratory_concept) WHERE n IS NOT NULL)
+    WITH RECURSIVE keys AS (SELECT DISTINCT {T.sql_normalize_label('n')} AS key, concept_id, structural_form_id FROM (SELECT concept_id, structural_form_id, unnest(list_append(coalesce(observed_aliases, []), display_name)) AS n FROM laboratory_concept) WHERE n IS NOT NULL)
 """
 _OWNED = _KEYS + f"""
     , a AS (SELECT document_id, page_number, line_id, line_key, source_index, text, {T.sql_normalize_label(T.sql_literal_label('text'))} AS label_key FROM sanitized_line WHERE disposition = 'Active'),
     h AS (SELECT a.*, keys.concept_id AS own_concept, keys.structural_form_id AS own_form FROM a LEFT JOIN keys ON label_key = key),
-    l AS (SELECT *, last_value(own_concept IGNORE NULLS) OVER b AS last_hit, max(CASE WHEN own_concept IS NOT NULL THEN source_index END) OVER b AS prior_place,
-        coalesce(max(CASE WHEN own_concept IS NULL AND (regexp_matches({_SEG}, '\\S') OR label_key = 'MATERIAL') THEN source_index END) OVER b, -1) AS since FROM h
-        WINDOW b AS (PARTITION BY document_id, page_number ORDER BY source_index, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    parts AS (SELECT concept_id, {T.sql_normalize_label('p')} AS part FROM (SELECT concept_id, unnest(observed_components) AS p FROM laboratory_concept)),
-    o AS (SELECT l.*, own_concept IS NOT NULL AND NOT EXISTS (SELECT 1 FROM parts WHERE parts.concept_id = last_hit AND part = label_key) AND NOT coalesce(own_concept = last_hit AND since < prior_place, FALSE) AS opens FROM l),
+    l AS (SELECT *, count(CASE WHEN label_key = 'MATERIAL' THEN 1 END) OVER (PARTITION BY document_id, page_number ORDER BY source_index, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS material FROM h),
+    parts AS (SELECT DISTINCT concept_id, {T.sql_normalize_label('p')} AS part FROM (SELECT concept_id, unnest(observed_components) AS p FROM laboratory_concept)),
+    hits AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY source_index, line_id) AS k, regexp_matches(text, '(?s)^[^:]*:.*\\S') AS result FROM l WHERE own_concept IS NOT NULL),
+    f AS (SELECT document_id, page_number, k, line_key, TRUE AS opens, own_concept AS cur, own_form AS cur_form, material AS cur_material, result AS cur_result FROM hits WHERE k = 1
+        UNION ALL SELECT document_id, page_number, k, line_key, takes, CASE WHEN takes THEN own_concept ELSE cur END, CASE WHEN takes THEN own_form ELSE cur_form END, CASE WHEN takes THEN material ELSE cur_material END, CASE WHEN takes THEN result ELSE cur_result END
+        FROM (SELECT hits.document_id, hits.page_number, hits.k, hits.line_key, own_concept, own_form, material, result, cur, cur_form, cur_material, cur_result,
+            NOT (EXISTS (SELECT 1 FROM parts WHERE parts.concept_id = cur AND part = label_key) OR cur_form = '{S.CULTURE}' AND label_key = 'CULTURAL' OR cur = own_concept AND material = cur_material AND NOT cur_result) AS takes
+            FROM f JOIN hits ON hits.document_id = f.document_id AND hits.page_number = f.page_number AND hits.k = f.k + 1)),
+    o AS (SELECT l.*, coalesce(f.opens, FALSE) AS opens FROM l LEFT JOIN (SELECT line_key, opens FROM f) AS f USING (line_key)),
     n AS (SELECT *, last_value(CASE WHEN opens THEN line_key END IGNORE NULLS) OVER u AS anchor0, last_value(CASE WHEN opens THEN own_concept END IGNORE NULLS) OVER u AS concept0, last_value(CASE WHEN opens THEN own_form END IGNORE NULLS) OVER u AS form0 FROM o
         WINDOW u AS (PARTITION BY document_id, page_number ORDER BY source_index, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
     pg AS (SELECT document_id, page_number, last(anchor0 ORDER BY source_index, line_id) AS ta, last(concept0 ORDER BY source_index, line_id) AS tc, last(form0 ORDER BY source_index, line_id) AS tf, first(label_key ORDER BY source_index, line_id) AS fl, bool_or(opens) AS any_anchor FROM n GROUP BY ALL),
     pv AS (SELECT *, lag(ta) OVER w AS pa, lag(tc) OVER w AS pc, lag(tf) OVER w AS pf, lag(page_number) OVER w AS pp FROM pg WINDOW w AS (PARTITION BY document_id ORDER BY page_number)),
-    cr AS (SELECT document_id, page_number, any_anchor, pa IS NOT NULL AND pp = page_number - 1 AND (pf = '{S.PANEL}' OR starts_with(fl, 'MATERIAL')) AS can, pa, pc FROM pv),
+    cr AS (SELECT document_id, page_number, any_anchor, pa IS NOT NULL AND pp = page_number - 1 AND (pf = '{S.PANEL}' OR fl = 'MATERIAL') AS can, pa, pc FROM pv),
     own AS (SELECT document_id, page_number, line_id, line_key, source_index, text, label_key, opens, coalesce(anchor0, CASE WHEN can THEN pa END) AS anchor_key, coalesce(concept0, CASE WHEN can THEN pc END) AS concept_id, any_anchor FROM n JOIN cr USING (document_id, page_number)),
     owned AS (SELECT *, CASE WHEN anchor_key IS NULL THEN CASE WHEN any_anchor THEN 'PrefixWithoutSafeContext' ELSE 'NoKnownAnchor' END END AS reason FROM own),
     routed AS (SELECT *, {_SEG} AS seg, CASE WHEN label_key IN ('MATERIAL', 'AMOSTRA') AND NOT (label_key = 'AMOSTRA' AND coalesce(concept_id = 'lab.tempo-tromboplastina', FALSE)) THEN 'Specimen' WHEN regexp_matches({_SEG}, '\\d') THEN 'Numeric'
@@ -65,8 +69,8 @@ SQL = {
     "exam_observations": _OWNED + f"""
         , v AS (SELECT *, regexp_extract_all(seg, '(?i){_NUM}', 1) AS vs, regexp_extract_all(seg, '(?i){_NUM}', 2) AS us FROM routed WHERE route = 'Numeric' AND anchor_key IS NOT NULL),
         e AS (SELECT *, unnest(range(len(vs))) AS k FROM v),
-        b AS (SELECT anchor_key, concept_id, line_key, line_id, page_number, source_index, {T.sql_literal_label('text')} AS label, k, vs[k + 1] AS raw_value, nullif(us[k + 1], '') AS raw_unit, NULL AS coded_value FROM e
-            UNION ALL SELECT anchor_key, concept_id, line_key, line_id, page_number, source_index, {T.sql_literal_label('text')}, 0, trim(seg, ' '), NULL, trim(seg, ' ') FROM routed WHERE route = 'Coded' AND anchor_key IS NOT NULL)
+        b AS (SELECT anchor_key, concept_id, line_key, line_id, page_number, source_index, {T.sql_literal_label('text')} AS label, k, vs[k + 1] AS raw_value, nullif(us[k + 1], '') AS raw_unit, CAST(NULL AS VARCHAR) AS coded_value FROM e
+            UNION ALL SELECT anchor_key, concept_id, line_key, line_id, page_number, source_index, {T.sql_literal_label('text')}, 0, trim(seg, ' '), CAST(NULL AS VARCHAR), trim(seg, ' ') FROM routed WHERE route = 'Coded' AND anchor_key IS NOT NULL)
         SELECT anchor_key, concept_id, line_key, CAST(row_number() OVER (PARTITION BY anchor_key ORDER BY page_number, source_index, line_id, k) - 1 AS INTEGER) AS ordinal, label, raw_value, raw_unit, coded_value,
         CASE WHEN coded_value IS NULL THEN CAST({T.sql_parse_decimal('raw_value')} AS DOUBLE) END AS numeric_value FROM b""",
     "semantic_coverage": _OWNED + "SELECT document_id, page_number, count(*) AS lines, count(anchor_key) AS owned, count(reason) AS unsupported, count(DISTINCT anchor_key) AS exams FROM owned GROUP BY ROLLUP (document_id, page_number)",
