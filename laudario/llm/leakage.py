@@ -41,7 +41,7 @@ SUBSEQUENCE = 11  # least longest common subsequence of a candidate window with
 SURE, MAYBE = 18, 14  # alignment scores: a leak, and a leak if the answer check holds
 RARE_SHARE = 2000  # the answer check asks for words of at most this part of all documents
 PAIRS = 5  # a window of 16 words, 11 of them matched, has as many pairs of matched neighbours at least
-BLOCK_ITEMS, BLOCK_WORDS = 2_000, 200_000  # items searched at once; more are searched in blocks
+BLOCK_ITEMS, BLOCK_WORDS = 500, 50_000  # items searched at once; more are searched in blocks
 _STEP = 512  # documents at a time
 
 
@@ -69,7 +69,12 @@ class Index:
         self.postings = item[order]
         self.pairs, self.posting_start = np.unique(word[order], return_index=True)
         self.posting_size = np.diff(np.append(self.posting_start, len(order)))
-        self.words_of = np.unique(np.concatenate([*[np.int64(i) * len(self.hashes) + w for i, w in enumerate(self.items)], np.zeros(0, np.int64)]))
+        self.maybe = np.zeros(1 << 20, bool)  # most pairs of a corpus are told here not to be an item's
+        self.maybe[self.spot(self.pairs)] = True
+        # Which item has which word; the first column is for unknown words. Bounded by a block's items and words.
+        self.member = np.zeros((len(self.items), len(self.hashes) + 1), bool)
+        for i, w in enumerate(self.items):
+            self.member[i, w + 1] = True
         self.least = np.array([min(SUBSEQUENCE, len(w)) for w in self.items], np.int32)
         self.single = np.unique(np.concatenate([*[w for w in self.items if len(w) == 1], np.zeros(0, np.int32)]))
         self.sure = np.array([sure(len(w)) for w in self.items], np.int32)
@@ -78,6 +83,9 @@ class Index:
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a.astype(np.int64) * (len(self.hashes) + 1) + b
 
+    def spot(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(word ids, -1 for words that are not in the vocabulary; first word of each text and the end)."""
         hashes, bounds = wordhash.words(texts)
@@ -221,6 +229,8 @@ class Searcher:
         if len(x.single):
             alone = np.flatnonzero(np.isin(ids, x.single))
             place, key = np.concatenate([place, alone]), np.concatenate([key, x.pair(ids[alone], ids[alone])])
+        hopeful = x.maybe[x.spot(key)]
+        place, key = place[hopeful], key[hopeful]
         if not len(place) or not len(x.pairs):
             return none, none, none
         at = np.minimum(np.searchsorted(x.pairs, key), len(x.pairs) - 1)
@@ -238,8 +248,40 @@ class Searcher:
         line = both * (len(ids) + WINDOW) + place
         dense = np.searchsorted(line, line + WINDOW - 1, side="left") - np.arange(len(line)) >= np.minimum(PAIRS, x.need[item])
         keep = enough & dense
+        if not keep.any():
+            return none, none, none
+        some = np.unique(both[keep])
+        good = some[self.most(ids, bounds, some, both, place) >= np.minimum(x.sure, MAYBE)[some % len(x.items)]]
+        keep &= np.isin(both, good)
         return text[place[keep]], item[keep], place[keep]
 
+    def most(self, ids: np.ndarray, bounds: np.ndarray, some: np.ndarray, both: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """An upper bound of the alignment score of some texts and items (text x items + item), from their shared pairs.
+
+        A word of a shared pair may be a match (1). Another word of the item may be a match on its own
+        (1), but where it follows a word of the item without a shared pair, an edit lies between (0). Any
+        other word is an edit (-1). The greatest sum of a stretch of the text bounds the score.
+        """
+        x = self.x
+        text, item = some // len(x.items), some % len(x.items)
+        length = np.diff(bounds)[text]
+        base = np.cumsum(length) - length
+        flat = np.arange(length.sum()) - np.repeat(base - bounds[text], length)
+        has = x.member[np.repeat(item, length), ids[flat] + 1]
+        fresh = np.concatenate([[True], ~has[:-1]])
+        fresh[base] = True
+        value = np.where(has, fresh, -1).astype(np.int64)
+        at = np.minimum(np.searchsorted(some, both), len(some) - 1)
+        mine = some[at] == both
+        spot = base[at[mine]] + place[mine] - bounds[text[at[mine]]]
+        value[spot] = 1
+        value[np.minimum(spot + 1, (base + length)[at[mine]] - 1)] = 1
+        # Greatest sums of stretches: running sums less their least value before, apart for each pair.
+        apart = np.repeat(np.arange(len(some)), length) * (2 * len(flat) + 2)
+        total = np.cumsum(value)
+        low = np.minimum.accumulate(total - value - apart)
+        return np.maximum.reduceat(total - apart - low, base)
+
     def candidates(self, ids: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], list[int]]:
         """(text, item) -> first words of the windows that hold a shared pair and are near a window of the item."""
         x = self.x
@@ -259,9 +301,7 @@ class Searcher:
         place = bounds[text] + start
         at = place[:, None] + np.arange(WINDOW)
         word = np.where(at < bounds[1:][text][:, None], ids[np.minimum(at, len(ids) - 1)], -1)
-        wanted = item[:, None] * len(x.hashes) + word
-        has = (x.words_of[np.minimum(np.searchsorted(x.words_of, wanted), len(x.words_of) - 1)] == wanted) & (word >= 0)
-        keep = has.sum(1) >= x.least[item]
+        keep = x.member[item[:, None], word + 1].sum(1) >= x.least[item]
         if not keep.any():
             return found
         item, text, start, place, word = item[keep], text[keep], start[keep], place[keep], word[keep]

@@ -4,11 +4,12 @@ Ordinary writing is ASCII, the accented letters of Portuguese as single code poi
 The JVM finds the rows that hold anything else by one pattern; only those go on. Characters with a
 plain counterpart of their own (full-width forms, ligatures, exotic spaces and hyphens, invisible
 characters, combining accents) are folded. Letters of other scripts that look like Latin ones are
-repaired by token: a token that mixes scripts, or holds only look-alikes amid Latin text, becomes its
-Latin reading if that reading occurs in the vocabulary of the corpus's ordinary rows. The dominant
-script of a token is that of most of its letters; a text is Latin unless tokens of another dominant
-script that have no Latin reading outnumber those of Latin. The vocabulary is a distributed table and is joined, not
-collected.
+repaired by token. The dominant script of a token is that of most of its letters. A token that holds
+letters of other scripts than its dominant one is mixed and becomes its Latin reading if that reading
+occurs in the vocabulary of the corpus's ordinary rows. A token that is foreign as a whole is taken for
+mixed with its text, and read likewise, where Latin dominates the text: tokens of another dominant
+script that have no Latin reading don't outnumber those of Latin. The vocabulary is never collected:
+the readings, which are few, meet the words of the corpus.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from laudario.session import cut, small_side
+
 # The letters and signs beyond ASCII that ordinary writing uses.
 LETTERS = "áàâãéêíóôõúüçÁÀÂÃÉÊÍÓÔÕÚÜÇ"
 SIGNS = "ªº±²³µβγ≥"
@@ -94,17 +97,26 @@ def amid_latin(tokens: list[str]) -> bool:
 
 
 def pieces(text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
-    """The folded text, and (start, end, reading, vocabulary key) of each token that may be repaired."""
+    """The folded text, and (start, end, reading, vocabulary key) of each token that may be repaired.
+
+    A token of mixed scripts is a candidate whatever script dominates it. A token of one foreign script
+    alone is mixed with its text at most: it is a candidate where Latin dominates the text's tokens.
+    """
     folded = fold(text)
     out, latin = [], None
     for m in _WORD.finditer(folded):
         token = m[0]
-        scripts = {s for c in token if (s := script(c))}
-        if scripts - {"LATIN"}:
+        if token.isascii():
+            continue
+        main = dominant(token)
+        mixed = any(s != main for c in token if (s := script(c)))
+        if mixed or main not in ("", "LATIN"):
             reading = latin_reading(token)
-            if reading is not None and len(scripts) == 1:
+            if reading is None:
+                continue
+            if not mixed:
                 latin = amid_latin(_WORD.findall(folded)) if latin is None else latin
-            if reading is not None and (len(scripts) > 1 or latin):
+            if mixed or latin:
                 out.append((m.start(), m.end(), reading, reading.lower()))
     return folded, out
 
@@ -118,40 +130,45 @@ def mend(folded: str, parts: list[tuple[int, int, str, str]], accepted: set[str]
     return "".join(out) + folded[at:]
 
 
+def strange(text: Column) -> Column:
+    """Whether a text holds anything but ordinary writing; texts of ASCII alone are told by their lengths."""
+    return (F.length(text) != F.octet_length(text)) & text.rlike(STRANGE)
+
+
 def flagged(df: DataFrame, text: str) -> DataFrame:
     """The rows whose text holds anything but ordinary writing; NULL and empty texts never do."""
-    return df.where(F.col(text).rlike(STRANGE))
+    return df.where(strange(F.col(text)))
 
 
-def vocabulary(df: DataFrame, text: str) -> DataFrame:
-    """Distinct lower-case words (column `key`) of the rows that hold ordinary writing only."""
-    plain = df.where(~F.col(text).rlike(STRANGE))
-    # One row a distinct text first: lines of reports repeat, and this aggregates before it shuffles.
-    words = plain.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^a-záàâãéêíóôõúüç]+"))).alias("key"))
-    return words.where(F.length("key") > 0).distinct()
+def known_words(corpus: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """Those of the `wanted` words (column `key`, distinct) that occur, in any letter case, in the corpus's rows of ordinary writing."""
+    plain = corpus.where(~strange(F.col(text)))
+    words = plain.select(F.explode(F.split(F.lower(F.col(text)), r"[^a-záàâãéêíóôõúüç]+")).alias("key"))
+    return words.join(small_side(wanted), "key", "left_semi").distinct()
 
 
-def repair(df: DataFrame, keys: list[str], text: str, vocab: DataFrame) -> DataFrame:
+def repair(df: DataFrame, keys: list[str], text: str, corpus: DataFrame) -> DataFrame:
     """(keys, text, folded, repaired, residual) of the flagged rows of df.
 
     `repaired` is the text in its one form; `residual` tells that strange characters are left because
-    no reading was in the vocabulary. `keys` identify a row; rows repeated under one key are repaired
-    alike and come out once.
+    no reading was in the vocabulary, which is the words of the ordinary rows of `corpus` (its column `text`).
+    `keys` identify a row; rows repeated under one key are repaired alike and come out once. The table
+    is read once for its flagged rows, which are few and kept, and once for its vocabulary.
     """
     rows = flagged(df.select(*keys, F.col(text).alias("text")), "text")
 
     @F.pandas_udf("struct<folded:string,parts:array<struct<s:int,e:int,reading:string,key:string>>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             done = [pieces(t) for t in texts]
             yield pd.DataFrame({"folded": [d[0] for d in done], "parts": [[{"s": s, "e": e, "reading": r, "key": k} for s, e, r, k in d[1]] for d in done]})
 
-    done = rows.select(*keys, "text", cut("text").alias("c")).select(*keys, "text", "c.folded", "c.parts")
+    done = cut(rows.select(*keys, "text", read("text").alias("c")).select(*keys, "text", "c.folded", "c.parts"))
     simple = done.where(F.size("parts") == 0).select(*keys, "text", "folded", F.col("folded").alias("repaired"))
-    parts = done.where(F.size("parts") > 0).select(*keys, "text", "folded", F.posexplode("parts").alias("i", "p"))
-    # Candidate readings are distinct before they meet the vocabulary, and the accepted ones stay a table.
-    accepted = parts.select(F.col("p.key").alias("key")).distinct().join(vocab, "key", "left_semi").withColumn("known", F.lit(True))
-    judged = parts.withColumn("key", F.col("p.key")).join(accepted, "key", "left")
+    parts = done.where(F.size("parts") > 0).select(*keys, "text", "folded", F.explode("parts").alias("p"))
+    wanted = cut(parts.select(F.col("p.key").alias("key")).distinct())
+    known = known_words(corpus, "text", wanted).withColumn("known", F.lit(True))
+    judged = parts.withColumn("key", F.col("p.key")).join(known, "key", "left")
 
     @F.pandas_udf("string")
     def join_up(folded: pd.Series, list_: pd.Series) -> pd.Series:
@@ -165,7 +182,7 @@ def repair(df: DataFrame, keys: list[str], text: str, vocab: DataFrame) -> DataF
         F.first("text").alias("text"), F.first("folded").alias("folded"),
         F.collect_set(F.struct("p.s", "p.e", "p.reading", F.coalesce("known", F.lit(False)).alias("known"))).alias("list_"),
     ).select(*keys, "text", "folded", join_up("folded", "list_").alias("repaired"))
-    return simple.dropDuplicates(keys).unionByName(whole).withColumn("residual", F.col("repaired").rlike(STRANGE))
+    return simple.dropDuplicates(keys).unionByName(whole).withColumn("residual", strange(F.col("repaired")))
 
 
 def gather(lines: DataFrame, words: DataFrame, glyphs: DataFrame) -> DataFrame:
@@ -180,7 +197,7 @@ def gather(lines: DataFrame, words: DataFrame, glyphs: DataFrame) -> DataFrame:
 def p4_repaired(lines: DataFrame, words: DataFrame, glyphs: DataFrame) -> DataFrame:
     """(table_name, record_key, text, folded, repaired, residual) of all rows with strange characters."""
     every = gather(lines, words, glyphs)
-    return repair(every, ["table_name", "record_key"], "text", vocabulary(every, "text"))
+    return repair(every, ["table_name", "record_key"], "text", every)
 
 
 def p4_found(lines: DataFrame, words: DataFrame, glyphs: DataFrame) -> DataFrame:

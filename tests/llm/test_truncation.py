@@ -42,7 +42,7 @@ def test_held_out_accuracy(spark):
 def test_limits(spark):
     rows, _ = corpus()
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = {r.source: r.char_limit for r in T.limits(T.measured(df, "doc_id", "text", "source")).collect()}
+    got = {r.source: r.char_limit for r in T.limits(T.lengths(T.measured(df, "doc_id", "text", "source"))).collect()}
     assert got == {"limitada": 300, "livre": None}
 
 
@@ -57,13 +57,24 @@ def test_visible_cuts():
     assert not T._visible(text, 10) and not T._visible(text, 22) and T._visible(text, 5) and T._visible(text, 15)
 
 
-def test_sample_holds_different_texts(spark, monkeypatch):
+def test_a_longer_text_hides_no_limit_and_copies_make_none(spark):
+    rows, _ = corpus()
+    rows += [(2000, "x " * 400, "limitada"), (2001, "x " * 900, "limitada")] + [(3000 + i, "O laudo final chegou. " * 60, "livre") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.source: r.char_limit for r in T.limits(T.lengths(T.measured(df, "doc_id", "text", "source"))).collect()} == {"limitada": 300, "livre": None}
+
+
+def test_closings_are_cut_alike_on_both_sides(spark):
+    texts = ["abc", "x" * 500, "a\n" + "y" * 400 + "\n \n", "a b\n" * 200, "z" * 239 + "\n", " \n", "á" * 300 + "\ncurta"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("t", T.last_line(T.F.col("t")).alias("tail")).collect():
+        tail, whole = T.closing(r.t)
+        assert r.tail == tail and whole == (len(r.tail) >= len(r.t))
+
+
+def test_sample_holds_different_texts(spark):
     rows = [(i, f"Texto número {i}.", "a") for i in range(600)] + [(1000 + i, "Texto igual.", "b") for i in range(5000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    seen = []
-    monkeypatch.setattr(T, "train", lambda sample, *_: seen.extend(sample) or T.Logistic())
-    assert T.score(df, sample=200).count() == 5600
-    assert len(seen) == len({s[:2] for s in seen}) == 200
-    seen.clear()
-    assert T.score(df.union(df), sample=10_000).count() == 11_200
-    assert len(seen) == len({s[:2] for s in seen}) == 601
+    few = T.draw(df, "text", "source", 601, 200).collect()
+    assert 60 <= len(few) <= 200 and len({r.h for r in few}) == len(few)
+    assert T.draw(df.union(df), "text", "source", 601, 10_000).count() == 601
