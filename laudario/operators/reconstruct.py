@@ -21,9 +21,9 @@ LINES = "document_id string, page_number int, word_id string, idx int, line_no i
 
 
 def tolerance(heights: list[float]) -> float:
-    """A quarter of the median height, between 0.75 and 2.5; 1 for a page without heights."""
-    hs = [h for h in heights if h > 0]
-    return min(2.5, max(0.75, 0.25 * median(hs))) if hs else 1.0
+    """A quarter of the median height, between 0.75 and 2.5; a page without heights counts as one of height 1."""
+    hs = [h for h in heights if h > 0] or [1.0]
+    return min(2.5, max(0.75, 0.25 * median(hs)))
 
 
 class _Line:
@@ -48,58 +48,86 @@ def cluster(words: list[dict]) -> list[list[dict]]:
     """
     tol = tolerance([w["top"] - w["bottom"] for w in words])
     lines: list[_Line] = []
+    open_: list[_Line] = []
     for word in sorted(words, key=lambda w: (-w["baseline"], w["left"], w["idx"])):
-        # lines come from the top, so only those near the current baseline can match
-        near = [(abs(line.baseline - word["baseline"]), line.first, line) for line in lines[-24:] if abs(line.baseline - word["baseline"]) <= tol]
+        # Words come from the top and a line's median is never below the word at hand, so a line once out of reach stays so.
+        open_ = [line for line in open_ if line.baseline - word["baseline"] <= tol]
+        near = [(abs(line.baseline - word["baseline"]), line.first, line) for line in open_]
         if near:
             min(near, key=lambda x: x[:2])[2].add(word)
         else:
             lines.append(_Line(word))
+            open_.append(lines[-1])
     out = [sorted(line.words, key=lambda w: (w["left"], w["idx"])) for line in lines]
     return out
 
 
+def _box(line: list[dict]) -> tuple[float, float, float, float]:
+    """Left, right, bottom and top of a line."""
+    return min(w["left"] for w in line), max(w["right"] for w in line), min(w["bottom"] for w in line), max(w["top"] for w in line)
+
+
+def _base(line: list[dict]) -> float:
+    return median(w["baseline"] for w in line)
+
+
 def attach_scripts(lines: list[list[dict]]) -> dict[str, tuple[str, str]]:
-    """Lines of one or two digits that belong to a word beside them, as word id -> (base word id, kind); they leave their lines."""
+    """Lines of one or two digits that belong to a word beside them, as word id -> (base word id, kind); they leave their lines.
+
+    The digit's height, overlap and gap are measured against the base word's whole line; the nearest
+    word wins, then the greater overlap, then the nearer baseline.
+    """
     found: dict[str, tuple[str, str]] = {}
     for line in [x for x in lines if len(x) == 1 and x[0]["text"].isascii() and x[0]["text"].isdigit() and len(x[0]["text"]) <= 2]:
         s = line[0]
         height = s["top"] - s["bottom"]
         best = None
-        for other in lines:
-            if other is line:
+        for other in lines if height > 0 else ():
+            if other is line or not other:
+                continue
+            _, right, bottom, top = _box(other)
+            tall = top - bottom
+            overlap = max(0.0, min(s["top"], top) - max(s["bottom"], bottom))
+            # only a line that the digit lies beside can hold its base
+            if overlap / height < 0.4 or height / max(tall, 0.001) > 0.75:
                 continue
             for b in other:
-                tall = b["top"] - b["bottom"]
                 gap = s["left"] - b["right"]
-                overlap = min(s["top"], b["top"]) - max(s["bottom"], b["bottom"])
                 apart = abs(s["baseline"] - b["baseline"])
-                if tall > 0 and height > 0 and -0.5 <= gap <= max(4, 0.75 * tall) and overlap >= 0.4 * height and height <= 0.75 * tall and apart >= 1:
-                    rank = (gap, -overlap, apart, b["idx"])
+                if -0.5 <= gap <= max(4, 0.75 * tall) and apart >= 1:
+                    rank = (gap, -overlap, apart)
                     if best is None or rank < best[0]:
                         best = (rank, b, other)
         if best:
             _, b, other = best
             found[s["word_id"]] = (b["word_id"], "superscript" if s["baseline"] > b["baseline"] else "subscript")
             line.remove(s)
-            other.insert(other.index(b) + 1, s)
+            other.append(s)
+            other.sort(key=lambda w: (w["left"], w["idx"]))
     lines[:] = [x for x in lines if x]
     return found
 
 
-def _box(line: list[dict]) -> tuple[float, float]:
-    return min(w["left"] for w in line), max(w["right"] for w in line)
+def dotted_label(line: list[dict]) -> dict | None:
+    """The first word that ends a field label with dots and a colon."""
+    return next((w for w in line if w["text"].endswith(":") and "..." in w["text"]), None)
 
 
 def order_wrapped(lines: list[list[dict]]) -> list[list[dict]]:
-    """A label that runs on below its content: label part, content at its right, end of the label; the end moves up."""
+    """A label that runs on below its content: label part, content at its right, end of the label; the end moves up.
+
+    Only the end has the dotted label; both parts share their left and right edges, the content is wholly
+    right of them, and the three lie closely below each other.
+    """
     lines, i = list(lines), 0
     while i + 2 < len(lines):
         a, b, c = lines[i : i + 3]
-        tall = max(1.0, a[0]["top"] - a[0]["bottom"])
-        runs_on = a[-1]["text"][-1:] != ":" and c[-1]["text"].endswith(":") and len(c) <= 3
-        beside = _box(b)[0] > _box(a)[1] and abs(_box(c)[0] - _box(a)[0]) <= 6 and _box(c)[1] < _box(b)[0]
-        if runs_on and beside and a[0]["baseline"] - c[0]["baseline"] <= 2.2 * tall:
+        (a_left, a_right, a_low, a_top), (b_left, _, b_low, b_top), (c_left, c_right, c_low, c_top) = _box(a), _box(b), _box(c)
+        tall_a, tall_b, tall_c = a_top - a_low, b_top - b_low, c_top - c_low
+        aside, down = max(2.0, 0.5 * max(tall_a, tall_c)), max(tall_a, tall_b, tall_c)
+        first, second = _base(a) - _base(b), _base(b) - _base(c)
+        fits = dotted_label(a) is None and dotted_label(c) is not None and abs(a_left - c_left) <= aside and abs(a_right - c_right) <= aside
+        if fits and b_left > c_right + 2 and 0 < first <= down and 0 < second <= down:
             lines[i + 1], lines[i + 2] = c, b
             i += 3
         else:
@@ -123,7 +151,7 @@ def close_bracket(lines: list[list[dict]]) -> list[list[dict]]:
 
 def order_lines(lines: list[list[dict]]) -> list[list[dict]]:
     """Lines from the top and left, then labels and brackets moved to what they belong to."""
-    lines = sorted(lines, key=lambda x: (-median(w["baseline"] for w in x), _box(x)[0]))
+    lines = sorted(lines, key=lambda x: (-_base(x), _box(x)[0]))
     return close_bracket(order_wrapped(reorder_staggered(lines)))
 
 
@@ -153,16 +181,16 @@ def page_tolerance(words: DataFrame) -> DataFrame:
     """Tolerance of each page by an exact median."""
     h = F.col("top_y") - F.col("bottom_y")
     m = F.median(F.when(h > 0, h))
-    return words.groupBy(*PAGE).agg(F.coalesce(F.least(F.lit(2.5), F.greatest(F.lit(0.75), m * 0.25)), F.lit(1.0)).alias("tolerance"), F.count("*").alias("words"))
+    return words.groupBy(*PAGE).agg(F.least(F.lit(2.5), F.greatest(F.lit(0.75), F.coalesce(m, F.lit(1.0)) * 0.25)).alias("tolerance"), F.count("*").alias("words"))
 
 
 def cells(words: DataFrame, lines: DataFrame) -> DataFrame:
-    """Cells of lines: a new one where the gap exceeds 2 % of the page or 1.8 median heights; with text and bounds."""
+    """Cells of lines: a new one where the gap exceeds 2 % of the page and 1.8 median heights of the line; with text and bounds."""
     w = W.partitionBy(*PAGE, "line_no").orderBy("left_x", "idx", "word_id")
-    page = W.partitionBy(*PAGE)
+    whole = W.partitionBy(*PAGE, "line_no")
     df = words.join(lines.select(*PAGE, "word_id", "line_no", "attached_to"), [*PAGE, "word_id"])
-    height = F.median(F.when(F.col("top_y") > F.col("bottom_y"), F.col("top_y") - F.col("bottom_y"))).over(page)
-    df = df.withColumn("limit", F.greatest(F.col("page_width") * 0.02, F.coalesce(height * 1.8, F.lit(0.0)))).withColumn("far", F.max("right_x").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    height = F.median(F.when(F.col("top_y") > F.col("bottom_y"), F.col("top_y") - F.col("bottom_y"))).over(whole)
+    df = df.withColumn("limit", F.greatest(F.coalesce(F.col("page_width") * 0.02, F.lit(0.0)), F.coalesce(height, F.lit(1.0)) * 1.8)).withColumn("far", F.lag("right_x").over(w))
     df = df.withColumn("cell_no", F.sum(F.when(F.col("left_x") - F.col("far") > F.col("limit"), 1).otherwise(0)).over(w)).withColumn("piece", F.concat(F.when(F.col("attached_to").isNotNull(), "").otherwise(" "), F.col("text")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("left_x", "idx", "word_id", "piece"))), lambda x: x["piece"])
     return df.groupBy(*PAGE, "line_no", "cell_no").agg(F.trim(F.array_join(parts, "")).alias("text"), F.count("*").alias("words"), F.min("left_x").alias("left"), F.min("bottom_y").alias("bottom"), F.max("right_x").alias("right"), F.max("top_y").alias("top"))

@@ -74,7 +74,7 @@ def bounds(lines: DataFrame) -> DataFrame:
 
 
 def classify(lines: DataFrame, text: str = "text") -> DataFrame:
-    """Adds `class` to every line: Header, Footer, History, BoilerplateNote, Method, Reference or Active.
+    """Adds `class` to every line: Header, Footer, History, BoilerplateNote, Method, EmptyLabel, Reference or Active; and `note_rule`, the rule of the note that a line belongs to.
 
     NULL texts are Active. The class doesn't depend on how the rows are partitioned.
     """
@@ -100,9 +100,10 @@ def classify(lines: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("in_method", body & free & (F.col("method") | F.col("calc") | going))
     out = (
         F.when(F.col("header"), "Header").when(F.col("footer"), "Footer").when(F.col("in_hist"), "History").when(F.col("in_note"), "BoilerplateNote").when(F.col("in_method"), "Method")
-        .when(F.col("empty_label"), "BoilerplateNote").when(F.col("fragment"), "Reference").when(~F.col("material") & F.col("norm").rlike("^" + REFERENCE), "Reference").otherwise("Active")
+        .when(F.col("empty_label"), "EmptyLabel").when(F.col("fragment"), "Reference").when(~F.col("material") & F.col("norm").rlike("^" + REFERENCE), "Reference").otherwise("Active")
     )
-    return df.withColumn("class", out)
+    rule = F.last(F.when(body & start, F.col("rule")), ignorenulls=True).over(upto)
+    return df.withColumn("class", out).withColumn("note_rule", F.when(F.col("class") == "BoilerplateNote", rule))
 
 
 def parenthesis_joins(lines: DataFrame) -> DataFrame:
@@ -116,21 +117,82 @@ def parenthesis_joins(lines: DataFrame) -> DataFrame:
     return df.where("b > 0 AND nb < 0").select("line_key", "next_key", F.concat_ws(" ", "text", "next_text").alias("joined"))
 
 
+#: Labels that header lines begin with (fixed values).
+HEADER_LABELS = ("Nome do Paciente", "Data Nascimento", "Solicitante", "Registro", "Nr Requisição", "Origem", "Hora Req", "Data Col")
+#: Patterns of header lines with two values (fixed values).
+PATIENT = r"(?i)^Nome do Paciente\.*:\s*(.*?)\s+Sexo\.*:\s*(.+)$"
+BIRTH = r"(?i)^Data Nascimento\.*:\s*(\S*)\s+Idade\.*:\s*(.*)$"
+REQUEST = r"(?i)^Nr Requisi[cç][aã]o\.*:\s*(\S*)\s+Data Req:\s*(.*)$"
+COLLECTION = r"(?i)^Data Col\.*:\s*(\S*)\s+Hora Col:\s*(.*)$"
+NO_HEADER = "Cabeçalho sem marcador Data Col."
+
+
 def parse_header(lines: DataFrame) -> DataFrame:
-    """Header fields of each page; of several matches the last one counts."""
-    df = lines.withColumn("norm", T.normalize_text(F.col("text")))
-
-    def group(pattern: str, g: int) -> Column:
-        hit = F.col("norm").rlike(pattern)
-        return F.nullif(F.trim(F.max_by(F.regexp_extract("norm", pattern, g), F.when(hit, F.struct("source_index", "line_id")))), F.lit(""))
-
-    patient = r"(?i)^Nome do Paciente\.*:\s*(.*?)\s+Sexo\.*:\s*(.+)$"
-    birth = r"(?i)^Data Nascimento\.*:\s*(\S*)\s+Idade\.*:\s*(.*)$"
-    request = r"(?i)^Nr Requisi[cç][aã]o\.*:\s*(\S*)\s+Data Req:\s*(.*)$"
-    collection = r"(?i)^Data Col\.*:\s*(\S*)\s+Hora Col:\s*(.*)$"
-    return df.groupBy(*PAGE).agg(
-        group(patient, 1).alias("patient_name"), group(patient, 2).alias("sex"), group(birth, 1).alias("birth_date"), group(birth, 2).alias("reported_age"),
-        group(request, 1).alias("request_number"), group(request, 2).alias("request_date"), group(collection, 1).alias("collection_date"), group(collection, 2).alias("collection_time"),
+    """The 14 header fields of each page, the ids of its header lines, and the fragments that no field explains.
+
+    The header goes to the first line that begins `Data Col`; without one all fields are NULL and the
+    only fragment says so. Of several matches the last one counts. Lines between the requester and the
+    request go on with the requester, those between the origin and the end with the origin. The first four lines
+    are letterhead. A header is a bounded number of lines, so it is read as an array.
+    """
+    df = lines.withColumn("norm", T.normalize_text(F.coalesce("text", F.lit(""))))
+    end = F.min(F.when(_starts(F.col("norm"), "Data Col"), F.struct("source_index", "line_id"))).over(W.partitionBy(*PAGE))
+    df = df.withColumn("end", end).withColumn("inside", F.struct("source_index", "line_id") <= F.col("end"))
+    by_page = df.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.when(F.col("inside"), F.struct("source_index", "line_id", "norm")))).alias("rows"))
+    h = by_page.withColumn("t", F.transform("rows", lambda r: r["norm"])).withColumn("n", F.size("rows"))
+    places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    h = h.withColumn("places", places)
+
+    def last(test) -> Column:
+        """Place of the last line that passes, or -1."""
+        return F.coalesce(F.array_max(F.filter("places", lambda i: test(F.get("t", i)))), F.lit(-1))
+
+    def known(x: Column) -> Column:
+        return reduce(lambda a, b: a | b, [_starts(x, label) for label in HEADER_LABELS])
+
+    for name, test in {
+        "patient": lambda x: x.rlike(PATIENT), "birth": lambda x: x.rlike(BIRTH), "requester": lambda x: _starts(x, "Solicitante"), "registry": lambda x: _starts(x, "Registro"),
+        "request": lambda x: x.rlike(REQUEST), "source": lambda x: _starts(x, "Origem"), "hour": lambda x: _starts(x, "Hora Req"), "collection": lambda x: x.rlike(COLLECTION),
+    }.items():
+        h = h.withColumn(f"at_{name}", last(test))
+
+    def line(name: str) -> Column:
+        return F.get("t", F.when(F.col(f"at_{name}") >= 0, F.col(f"at_{name}")))
+
+    def filled(c: Column) -> Column:
+        return F.nullif(F.trim(c), F.lit(""))
+
+    def group(name: str, pattern: str, g: int) -> Column:
+        return filled(F.regexp_extract(line(name), pattern, g))
+
+    def content(name: str) -> Column:
+        return F.regexp_extract(line(name), "^[^:]*:(.*)$", 1)
+
+    def parted(name: str, label: str) -> tuple[Column, Column]:
+        """What stands before and behind a second label in a line."""
+        c = content(name)
+        at = F.instr(F.lower(c), F.lit(label.lower() + ":"))
+        return filled(F.when(at > 0, F.substring(c, F.lit(1), at - 1)).otherwise(c)), filled(F.when(at > 0, F.substring(c, at + len(label) + 1, F.length(c))))
+
+    def run_on(first: Column, begin: str, stop: Column) -> Column:
+        """A value with the lines that go on with it."""
+        more = F.filter("places", lambda i: (i > F.col(begin)) & (i < stop) & ~known(F.get("t", i)))
+        return F.nullif(F.array_join(F.concat(F.when(first.isNotNull(), F.array(first)).otherwise(F.expr("cast(array() as array<string>)")), F.transform(more, lambda i: F.get("t", i))), " "), F.lit(""))
+
+    requester, registration = parted("requester", "Registro")
+    origin, hour = parted("source", "Hora Req")
+    h = h.withColumn("requester0", requester).withColumn("registration0", registration).withColumn("origin0", origin).withColumn("hour0", hour)
+    going = (F.col("at_requester") >= 0) & (F.col("at_request") > F.col("at_requester"))
+    spread = (F.col("at_source") >= 0) & (F.col("n") - 1 > F.col("at_source"))
+    rest = F.filter("places", lambda i: (i >= 4) & ~known(F.get("t", i)) & (F.get("t", i) != "") & ~((F.col("at_requester") >= 0) & (i > F.col("at_requester")) & (i < F.col("at_request"))) & ~((F.col("at_source") >= 0) & (i > F.col("at_source")) & (i < F.col("n") - 1)))
+    some = F.col("n") > 0
+    return h.select(
+        *PAGE, F.get("t", F.lit(0)).alias("issuer"), F.get("t", F.lit(1)).alias("laboratory"), group("patient", PATIENT, 1).alias("patient_name"), group("patient", PATIENT, 2).alias("sex"),
+        group("birth", BIRTH, 1).alias("birth_date"), group("birth", BIRTH, 2).alias("reported_age"), F.when(going, run_on(F.col("requester0"), "at_requester", F.col("at_request"))).otherwise(F.col("requester0")).alias("requester"),
+        F.when(F.col("at_registry") > F.col("at_requester"), F.trim(content("registry"))).otherwise(F.col("registration0")).alias("requester_registration"),
+        group("request", REQUEST, 1).alias("request_number"), group("request", REQUEST, 2).alias("request_date"), F.when(F.col("at_hour") > F.col("at_source"), F.trim(content("hour"))).otherwise(F.col("hour0")).alias("request_time"),
+        F.when(spread, run_on(F.col("origin0"), "at_source", F.col("n") - 1)).otherwise(F.col("origin0")).alias("origin"), group("collection", COLLECTION, 1).alias("collection_date"), group("collection", COLLECTION, 2).alias("collection_time"),
+        F.transform("rows", lambda r: r["line_id"]).alias("source_line_ids"), F.when(some, F.transform(rest, lambda i: F.get("t", i))).otherwise(F.array(F.lit(NO_HEADER))).alias("unresolved_fragments"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from laudario.operators import bands as B
 from laudario.operators import notices as N
 from laudario.operators import reconstruct as R
+from laudario.operators import sanitize as S
 from laudario.sources.tables import table
 
 
@@ -52,8 +53,21 @@ def reference_bands(spark, folder):
     return B.reference_bands(page_cells(spark, folder), widths).select("document_id", "page_number", "line_no", "text", "disposition", F.size("suppressed").alias("suppressed"))
 
 
-def raised_digits(spark, folder):
-    return B.raised_digits(page_cells(spark, folder))
+def _sanitized(spark, folder):
+    cells = page_cells(spark, folder)
+    lines = R.line_texts(cells).withColumn("source_index", F.col("line_no")).withColumn("line_id", F.format_string("p%04d-l%04d", "page_number", "line_no"))
+    widths = _w(spark, folder).groupBy(*R.PAGE).agg(F.max("page_width").alias("page_width"))
+    return B.sanitized_pages(S.classify(lines, "display_text"), cells, widths)
+
+
+def sanitized_pages(spark, folder):
+    """Lines of the captured pages through reconstruction and the whole classification."""
+    return _sanitized(spark, folder).select("document_id", "page_number", "line_no", "text", "disposition", F.array_join("rules", " ").alias("rules"), F.size("suppressed").alias("suppressed"))
+
+
+def sanitized_page_words(spark, folder):
+    """By page: words that the reconstructed lines hold; each word with text and place is on one line."""
+    return page_lines(spark, folder).groupBy(*R.PAGE).agg(F.sum("words").alias("words"))
 
 
 def page_notices(spark, folder):
@@ -68,9 +82,10 @@ def document_counters(spark, folder):
     return N.document_counters(words, R.lines_of_words(words))
 
 
-QUERIES = {f.__name__: f for f in (page_tolerance, line_clustering, page_cells, page_lines, cell_split, page_losses, glyph_links, reference_bands, raised_digits, page_notices, document_counters)}
+QUERIES = {f.__name__: f for f in (page_tolerance, line_clustering, page_cells, page_lines, cell_split, page_losses, glyph_links, reference_bands, sanitized_pages, sanitized_page_words, page_notices, document_counters)}
 _P = "document_id, page_number"
 SQL = {
+    "sanitized_page_words": f"SELECT {_P}, count(*) AS words FROM capture_word WHERE NOT (left_x IS NULL OR bottom_y IS NULL OR right_x IS NULL OR top_y IS NULL OR baseline_y IS NULL OR text IS NULL OR idx IS NULL OR word_id IS NULL OR isnan(left_x) OR isnan(baseline_y)) GROUP BY ALL",
     "page_notices": f"""
         WITH w AS (SELECT {_P}, word_id, left_x IS NULL OR bottom_y IS NULL OR right_x IS NULL OR top_y IS NULL OR baseline_y IS NULL OR text IS NULL OR isnan(left_x) OR isnan(baseline_y) AS lost FROM capture_word),
         g AS (SELECT {_P}, bool_and(lost) AS all_lost, bool_or(lost) AS any_lost FROM w GROUP BY ALL),
@@ -79,11 +94,11 @@ SQL = {
             UNION ALL SELECT {_P}, 'Warning', 'UnresolvedFragments' FROM sanitized_header WHERE len(unresolved_fragments) > 0
             UNION ALL SELECT {_P}, 'Warning', 'FooterUnrecognized' FROM sanitized_line GROUP BY {_P} HAVING count(*) FILTER (disposition = 'Footer') = 0)
         SELECT document_id, severity, code, count(*) AS pages FROM n GROUP BY ALL""",
-    "page_tolerance": f"SELECT {_P}, round(coalesce(least(2.5, greatest(0.75, 0.25 * median(CASE WHEN top_y > bottom_y THEN top_y - bottom_y END))), 1.0), 6) AS tolerance, count(*) AS words FROM capture_word GROUP BY ALL",
+    "page_tolerance": f"SELECT {_P}, round(least(2.5, greatest(0.75, 0.25 * coalesce(median(CASE WHEN top_y > bottom_y THEN top_y - bottom_y END), 1.0))), 6) AS tolerance, count(*) AS words FROM capture_word GROUP BY ALL",
     "cell_split": f"""
         WITH l AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY {_P} ORDER BY round_even(baseline_y, 4) DESC) AS INTEGER) AS line_no FROM capture_word),
-        h AS (SELECT {_P}, 1.8 * median(CASE WHEN top_y > bottom_y THEN top_y - bottom_y END) AS hm FROM capture_word GROUP BY ALL),
-        f AS (SELECT l.*, greatest(page_width * 0.02, coalesce(hm, 0)) AS lim, max(right_x) OVER (PARTITION BY {_P}, line_no ORDER BY left_x, idx, word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM l JOIN h USING ({_P})),
+        h AS (SELECT {_P}, line_no, 1.8 * coalesce(median(CASE WHEN top_y > bottom_y THEN top_y - bottom_y END), 1.0) AS hm FROM l GROUP BY ALL),
+        f AS (SELECT l.*, greatest(coalesce(page_width * 0.02, 0), hm) AS lim, lag(right_x) OVER (PARTITION BY {_P}, line_no ORDER BY left_x, idx, word_id) AS far FROM l JOIN h USING ({_P}, line_no)),
         c AS (SELECT *, sum(CASE WHEN left_x - far > lim THEN 1 ELSE 0 END) OVER (PARTITION BY {_P}, line_no ORDER BY left_x, idx, word_id ROWS UNBOUNDED PRECEDING) AS cell_no FROM f)
         SELECT {_P}, line_no, CAST(cell_no AS BIGINT) AS cell_no, trim(string_agg(' ' || text, '' ORDER BY left_x, idx, word_id), ' ') AS text, count(*) AS words, round(min(left_x), 4) AS left, round(max(right_x), 4) AS right FROM c GROUP BY ALL""",
     "page_losses": f"""

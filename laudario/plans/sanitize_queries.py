@@ -36,7 +36,7 @@ def line_state_counts(spark, folder):
 
 
 def header_fields(spark, folder):
-    return S.parse_header(_l(spark, folder))
+    return S.parse_header(_l(spark, folder)).withColumn("source_line_ids", F.array_join("source_line_ids", ",")).withColumn("unresolved_fragments", F.array_join("unresolved_fragments", "\n"))
 
 
 def parenthesis_joins(spark, folder):
@@ -93,23 +93,60 @@ _STATES = _BOUNDS + f"""
     c7 AS (SELECT *, {_last('method AND free', '1 PRECEDING')} AS last_method, {_last('free AND NOT calc AND NOT open_end', '1 PRECEDING')} AS last_closed, {_last('free AND NOT calc AND NOT method AND (boundary OR marker)')} AS last_other FROM c6),
     s AS (SELECT *, CASE WHEN coalesce(i <= header_end, FALSE) THEN 'Header' WHEN coalesce(i >= footer_start, FALSE) THEN 'Footer' WHEN in_hist THEN 'History' WHEN in_note THEN 'BoilerplateNote'
         WHEN free AND (method OR calc OR (last_method >= 0 AND last_method > last_hist AND last_method > last_note AND last_closed < last_method AND last_other < last_method)) THEN 'Method'
-        WHEN empty_label THEN 'BoilerplateNote' WHEN fragment THEN 'Reference' WHEN NOT material AND regexp_matches(norm, '^{S.REFERENCE.replace("'", "''")}') THEN 'Reference' ELSE 'Active' END AS class FROM c7)
+        WHEN empty_label THEN 'EmptyLabel' WHEN fragment THEN 'Reference' WHEN NOT material AND regexp_matches(norm, '^{S.REFERENCE.replace("'", "''")}') THEN 'Reference' ELSE 'Active' END AS class FROM c7)
+"""
+_KNOWN = " OR ".join(f"starts_with(lower({{0}}), {_s(p.lower())})" for p in S.HEADER_LABELS)
+
+
+def _at(test: str) -> str:
+    return f"coalesce(list_max(list_filter(range(n), lambda i: {test.format('t[i + 1]')})), -1)"
+
+
+def _group(name: str, pattern: str, g: int) -> str:
+    return f"nullif(trim(regexp_extract(t[at_{name} + 1], {_s(pattern)}, {g}), ' '), '')"
+
+
+def _content(name: str) -> str:
+    return f"regexp_extract(t[at_{name} + 1], '^[^:]*:(.*)$', 1)"
+
+
+def _parted(name: str, label: str) -> tuple[str, str]:
+    c = _content(name)
+    at = f"strpos(lower({c}), {_s(label.lower() + ':')})"
+    return f"nullif(trim(CASE WHEN {at} > 0 THEN substr({c}, 1, {at} - 1) ELSE {c} END, ' '), '')", f"nullif(trim(CASE WHEN {at} > 0 THEN substr({c}, {at} + {len(label) + 1}) END, ' '), '')"
+
+
+def _run_on(first: str, begin: str, stop: str) -> str:
+    more = f"list_filter(range(n), lambda i: i > {begin} AND i < {stop} AND NOT ({_KNOWN.format('t[i + 1]')}))"
+    return f"nullif(array_to_string(list_concat(CASE WHEN {first} IS NULL THEN [] ELSE [{first}] END, list_transform({more}, lambda i: t[i + 1])), ' '), '')"
+
+
+_REQ, _REG = _parted("requester", "Registro")
+_ORI, _HOUR = _parted("source", "Hora Req")
+_HEADER = f"""
+    WITH n0 AS (SELECT document_id, page_number, source_index, line_id, {T.sql_normalize_text("coalesce(text, '')")} AS norm FROM sanitized_line),
+    n1 AS (SELECT *, row_number() OVER w AS r FROM n0 WINDOW w AS (PARTITION BY document_id, page_number ORDER BY source_index, line_id)),
+    n2 AS (SELECT *, min(CASE WHEN starts_with(lower(norm), 'data col') THEN r END) OVER (PARTITION BY document_id, page_number) AS last_r FROM n1),
+    h0 AS (SELECT document_id, page_number, coalesce(list(norm ORDER BY r) FILTER (r <= last_r), []) AS t, coalesce(list(line_id ORDER BY r) FILTER (r <= last_r), []) AS ids FROM n2 GROUP BY ALL),
+    h1 AS (SELECT *, len(t) AS n FROM h0),
+    h2 AS (SELECT *, {_at(f"regexp_matches({{0}}, {_s(S.PATIENT)})")} AS at_patient, {_at(f"regexp_matches({{0}}, {_s(S.BIRTH)})")} AS at_birth, {_at("starts_with(lower({0}), 'solicitante')")} AS at_requester, {_at("starts_with(lower({0}), 'registro')")} AS at_registry,
+        {_at(f"regexp_matches({{0}}, {_s(S.REQUEST)})")} AS at_request, {_at("starts_with(lower({0}), 'origem')")} AS at_source, {_at("starts_with(lower({0}), 'hora req')")} AS at_hour, {_at(f"regexp_matches({{0}}, {_s(S.COLLECTION)})")} AS at_collection FROM h1),
+    h3 AS (SELECT *, {_REQ} AS requester0, {_REG} AS registration0, {_ORI} AS origin0, {_HOUR} AS hour0 FROM h2)
+    SELECT document_id, page_number, t[1] AS issuer, t[2] AS laboratory, {_group('patient', S.PATIENT, 1)} AS patient_name, {_group('patient', S.PATIENT, 2)} AS sex, {_group('birth', S.BIRTH, 1)} AS birth_date, {_group('birth', S.BIRTH, 2)} AS reported_age,
+        CASE WHEN at_requester >= 0 AND at_request > at_requester THEN {_run_on('requester0', 'at_requester', 'at_request')} ELSE requester0 END AS requester,
+        CASE WHEN at_registry > at_requester THEN trim({_content('registry')}, ' ') ELSE registration0 END AS requester_registration, {_group('request', S.REQUEST, 1)} AS request_number, {_group('request', S.REQUEST, 2)} AS request_date,
+        CASE WHEN at_hour > at_source THEN trim({_content('hour')}, ' ') ELSE hour0 END AS request_time, CASE WHEN at_source >= 0 AND n - 1 > at_source THEN {_run_on('origin0', 'at_source', 'n - 1')} ELSE origin0 END AS origin,
+        {_group('collection', S.COLLECTION, 1)} AS collection_date, {_group('collection', S.COLLECTION, 2)} AS collection_time, array_to_string(ids, ',') AS source_line_ids,
+        CASE WHEN n > 0 THEN array_to_string(list_transform(list_filter(range(n), lambda i: i >= 4 AND NOT ({_KNOWN.format('t[i + 1]')}) AND t[i + 1] <> '' AND NOT (at_requester >= 0 AND i > at_requester AND i < at_request) AND NOT (at_source >= 0 AND i > at_source AND i < n - 1)), lambda i: t[i + 1]), chr(10))
+            ELSE {_s(S.NO_HEADER)} END AS unresolved_fragments FROM h3
 """
-_HEAD = {
-    "patient_name": ("(?i)^Nome do Paciente\\.*:\\s*(.*?)\\s+Sexo\\.*:\\s*(.+)$", 1), "sex": ("(?i)^Nome do Paciente\\.*:\\s*(.*?)\\s+Sexo\\.*:\\s*(.+)$", 2),
-    "birth_date": ("(?i)^Data Nascimento\\.*:\\s*(\\S*)\\s+Idade\\.*:\\s*(.*)$", 1), "reported_age": ("(?i)^Data Nascimento\\.*:\\s*(\\S*)\\s+Idade\\.*:\\s*(.*)$", 2),
-    "request_number": ("(?i)^Nr Requisi[cç][aã]o\\.*:\\s*(\\S*)\\s+Data Req:\\s*(.*)$", 1), "request_date": ("(?i)^Nr Requisi[cç][aã]o\\.*:\\s*(\\S*)\\s+Data Req:\\s*(.*)$", 2),
-    "collection_date": ("(?i)^Data Col\\.*:\\s*(\\S*)\\s+Hora Col:\\s*(.*)$", 1), "collection_time": ("(?i)^Data Col\\.*:\\s*(\\S*)\\s+Hora Col:\\s*(.*)$", 2),
-}
 SQL = {
     "line_predicates": _PRED + "SELECT line_key, hist, method, calc, boundary, marker, fragment, balance, empty_label FROM p",
     "note_rules": _PRED + "SELECT line_key, rule, long FROM p WHERE rule IS NOT NULL",
     "page_bounds": _BOUNDS + "SELECT document_id, page_number, min(header_end) AS header_end, min(footer_start) AS footer_start, count(*) AS lines FROM b GROUP BY ALL",
     "line_states": _STATES + "SELECT line_key, class FROM s",
     "line_state_counts": _STATES + "SELECT disposition, class, count(*) AS lines FROM s GROUP BY ALL",
-    "header_fields": f"WITH n AS (SELECT *, {T.sql_normalize_text('text')} AS norm FROM sanitized_line) SELECT document_id, page_number, "
-    + ", ".join(f"nullif(trim(first(regexp_extract(norm, '{p}', {g}) ORDER BY source_index DESC, line_id DESC) FILTER (regexp_matches(norm, '{p}')), ' '), '') AS {n}" for n, (p, g) in _HEAD.items())
-    + " FROM n GROUP BY ALL",
+    "header_fields": _HEADER,
     "parenthesis_joins": """
         WITH a AS (SELECT *, len(regexp_extract_all(text, '\\(')) - len(regexp_extract_all(text, '\\)')) AS b FROM sanitized_line WHERE disposition = 'Active'),
         x AS (SELECT line_key, text, b, lead(b) OVER w AS nb, lead(text) OVER w AS nt, lead(line_key) OVER w AS next_key FROM a WINDOW w AS (PARTITION BY document_id, page_number ORDER BY source_index, line_id))

@@ -33,10 +33,9 @@ def test_staggered_labels():
     assert B.reorder_staggered([]) == []
 
 
-def test_bands_and_raised_digits_over_pages(spark):
+def test_bands_over_pages(spark):
     rows = [("d", 1, 0, 0, "2", 100.0, 103.0), ("d", 1, 1, 0, "mL/min/1,73m", 40.0, 99.0), ("d", 1, 2, 0, None, 40.0, 50.0)]
     cells = spark.createDataFrame(rows, "document_id string, page_number int, line_no int, cell_no int, text string, left double, right double")
     widths = spark.createDataFrame([("d", 1, 595.0)], "document_id string, page_number int, page_width double")
-    assert B.raised_digits(cells).first().text == "mL/min/1,73m²"
     assert B.reference_bands(cells, widths).count() == 3
     assert B.reference_bands(cells.limit(0), widths).count() == 0

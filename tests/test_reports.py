@@ -116,11 +116,11 @@ def test_lines_scripts_and_moved_parts():
 
     lines = reconstruct.cluster([word(0, "Nome", 10, 100), word(1, "Paciente", 40, 100.4), word(2, "Sexo", 200, 99.9), word(3, "Data", 10, 80)])
     assert [[w["text"] for w in line] for line in lines] == [["Nome", "Paciente", "Sexo"], ["Data"]]
-    lines = [[word(0, "pO", 10, 100, 10)], [word(1, "2", 20.5, 98, 6)]]
+    lines = [[word(0, "pO", 10, 100, 10)], [word(1, "2", 20.5, 98, 6)]]  # four of its six units beside the line
     assert reconstruct.attach_scripts(lines) == {"w1": ("w0", "subscript")} and len(lines) == 1
     lines = reconstruct.order_lines([[word(0, "TEMPO", 10, 100), word(1, "(TP", 60, 100)], [word(2, "outra", 10, 90)], [word(3, "x)", 10, 80)]])
     assert [w["text"] for w in lines[1]] == ["x)"]
-    assert reconstruct.tolerance([]) == 1.0 and reconstruct.tolerance([4, 4]) == 1.0 and reconstruct.tolerance([100]) == 2.5
+    assert reconstruct.tolerance([]) == 0.75 and reconstruct.tolerance([4, 4]) == 1.0 and reconstruct.tolerance([100]) == 2.5
 
 
 def test_susceptibility_and_links(spark):
