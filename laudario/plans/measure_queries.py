@@ -65,7 +65,8 @@ def curve_rates(spark, folder):
 
 
 def curve_text(spark, folder):
-    return C.texts(C.points(_o(spark, folder)))
+    """The text of every point of every series."""
+    return C.texts(C.all_series(_o(spark, folder), _assessed(spark, folder)))
 
 
 QUERIES = {f.__name__: f for f in (egfr_values, egfr_coverage, egfr_truncated, curve_points, curve_delta, curve_last_days, curve_range, curve_options, curve_include_year, curve_rates, curve_text)}
@@ -114,5 +115,16 @@ SQL = {
     "curve_last_days": _points(f"CAST(requested_at AS DATE) BETWEEN DATE '{TODAY}' - 364 AND DATE '{TODAY}'") + "SELECT series_key, count(*) AS points, count(DISTINCT patient_key) AS patients FROM p GROUP BY ALL",
     "curve_range": _points("CAST(requested_at AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' AND series_key IN ('creatinine', 'sodium')") + "SELECT patient_key, series_key, observation_id, CAST(value AS DOUBLE) AS value FROM p",
     "curve_options": _points() + "SELECT DISTINCT patient_key, series_key FROM p",
+    "curve_text": _points() + f"""
+        , e0 AS ({_RATES}),
+        every AS (SELECT patient_key, series_key, ts, episode_key, observation_id, value, unit, series_label, place, {C.sql_shown('value')} AS body FROM p
+            UNION ALL SELECT patient_key, '{C.BILIRUBINS[0]}', ts, episode_key, min(observation_id), NULL, '{C.BILIRUBINS[2]}', '{C.BILIRUBINS[1]}', {C.BILIRUBINS[3]}, '(' || string_agg(series_label || ' ' || {C.sql_shown('value')}, ' | ' ORDER BY place, series_label || ' ' || {C.sql_shown('value')}) || ')' FROM p WHERE starts_with(series_key, 'bilirubin-') GROUP BY patient_key, episode_key, ts
+            UNION ALL SELECT patient_key, '{C.RATE[0]}', CAST(day AS TIMESTAMP), episode_key, '', CAST(value AS DECIMAL(28,10)), '{C.RATE[2]}', '{C.RATE[1]}', {C.RATE[3]}, replace(format('{{:.1f}}', value), '.', ',') FROM e0),
+        y AS (SELECT patient_key, min(year(ts)) <> max(year(ts)) AS with_year FROM every GROUP BY ALL),
+        q AS (SELECT every.*, with_year, CAST(row_number() OVER w AS INTEGER) AS n, lag(value) OVER w AS before, count(*) OVER (PARTITION BY patient_key, series_key, CAST(ts AS DATE)) > 1 AS rep FROM every JOIN y USING (patient_key) WINDOW w AS (PARTITION BY patient_key, series_key ORDER BY ts, episode_key, observation_id)),
+        d AS (SELECT *, value - before AS delta, greatest(length(regexp_extract({C.sql_shown('value')}, ',(\\d+)$', 1)), length(regexp_extract({C.sql_shown('before')}, ',(\\d+)$', 1))) AS most FROM q)
+        SELECT patient_key, place, series_key, n, '#' || series_label || ' (' || unit || '):' AS heading, strftime(ts, '%d/%m') || CASE WHEN with_year THEN strftime(ts, '/%y') ELSE '' END || CASE WHEN rep THEN strftime(ts, ' %H:%M') ELSE '' END || ' - ' || body
+            || CASE WHEN delta IS NULL THEN '' WHEN delta = 0 THEN ' (±0)' ELSE ' (' || CASE WHEN delta > 0 THEN '+' ELSE '' END || CASE WHEN series_key = '{C.RATE[0]}' THEN replace(format('{{:.1f}}', CAST(round(delta, 1) AS DOUBLE)), '.', ',')
+                WHEN most = 0 THEN {C.sql_shown('round(delta, 0)')} WHEN most = 1 THEN {C.sql_shown('round(delta, 1)')} ELSE {C.sql_shown('delta')} END || ')' END AS piece FROM d""",
     "curve_include_year": _points() + "SELECT patient_key, min(year(ts)) <> max(year(ts)) AS with_year FROM p GROUP BY ALL",
 }

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laudario.functions import text as T
-from laudario.operators import assemble, curves, derived, panels, project, reconstruct, sanitize, semantic
+from laudario.operators import assemble, curves, derived, project, reconstruct, render, sanitize, semantic
 from laudario.plans.pipeline import Pipeline, Stage
 from laudario.sources import admission, sinks
 
@@ -99,7 +99,14 @@ def test_curves_text_and_deltas(spark):
     rows = [(f"o{i}", f"occ{i}", "p", "e", "lab.creatinina", v, n, u, datetime(2025, m, d, h), datetime(2026, 1, 1)) for i, (v, n, u, m, d, h) in enumerate([("1,20", "1.20", "mg/dL", 1, 2, 8), ("1,50", "1.50", "MG / DL", 1, 3, 8), ("1,50", "1.50", "mg/dL", 1, 3, 20), ("<0,9", "0.9", "mg/dL", 1, 4, 8), ("90", "90", "µmol/L", 1, 5, 8), ("0,8", "0.8", "mg/dL", 1, 6, 8)])]
     rows.append(rows[0][:-1] + (datetime(2026, 2, 1),))
     df = spark.createDataFrame(rows, "observation_id string, occurrence_id string, patient_key string, episode_key string, concept_id string, raw_value string, numeric_value string, raw_unit string, requested_at timestamp_ntz, received_at timestamp_ntz").withColumn("numeric_value", F.col("numeric_value").cast("decimal(28,10)")).withColumn("normalized_unit", F.lit(None).cast("string"))
-    assert curves.texts(curves.points(df)).first().text == "Curvas:\n#Creatinina (mg/dL): 02/01 - 1,2 | 03/01 08:00 - 1,5 (+0,3) | 03/01 20:00 - 1,5 (±0) | 06/01 - 0,8 (-0,7)"
+    df = df.withColumn("label", F.lit("CREATININA"))
+    out = curves.texts(curves.all_series(df)).orderBy("place", "n").collect()
+    assert {r.heading for r in out} == {"#Creatinina (mg/dL):"} and [r.piece for r in out] == ["02/01 - 1,2", "03/01 08:00 - 1,5 (+0,3)", "03/01 20:00 - 1,5 (±0)", "06/01 - 0,8 (-0,7)"]
+    years = curves.DateFilter(date(2024, 12, 1), date(2025, 12, 31))
+    assert curves.texts(curves.all_series(df, when=years), when=years).orderBy("n").first().piece == "02/01/25 - 1,2"
+    assert curves.of_patient(df, "p").count() == 7
+    with pytest.raises(ValueError):
+        curves.of_patient(df, "nobody")
     assert curves.points(df, curves.DateFilter(days=4, today=date(2025, 1, 6))).count() == 3
     assert curves.points(df, keys=[]).count() == 0
     with pytest.raises(ValueError):
@@ -137,17 +144,6 @@ def test_ambiguous_alias_is_refused(spark):
         semantic.aliases(concepts)
 
 
-def test_panels(spark):
-    rows = [("o", 0, "HEMOGLOBINA", "13,5", "g/dL", 13.5), ("o", 1, "LEUCOCITOS", "5.000", "/mm³", 5000.0), ("o", 2, "NEUTROFILOS", "60,07", "%", 60.07), ("o", 3, "NEUTROFILOS", "3.000", "/mm³", 3000.0), ("o", 4, "PLAQUETAS", "200.000", "/mm³", 200000.0), ("o", 5, "pO2", "80", "mmHg", 80.0), ("o", 6, "pH", "7,4", None, 7.4)]
-    df = spark.createDataFrame(rows, "occurrence_id string, ordinal int, label string, raw_value string, raw_unit string, numeric_value double")
-    assert panels.blood_count(df).first().text == "Hb 13,5 | Leuco 5.000 | Neut 60,07% [3.000] | Plaq 200.000"
-    assert panels.leukogram(df).first().text == "Leuco 5.000 (N 60,0%)"
-    assert panels.ordered_panel(df.where("ordinal > 4")).first().text == "pH 7,4 | pO2 80"
-    cultures = spark.createDataFrame([("c", "URINA", "POSITIVO", "E. coli")], "id string, material string, result string, organism string")
-    entries = spark.createDataFrame([("c", "E COLI", "Amicacina", "Sensível", "S")], "id string, organism string, drug string, result string, interpretation string")
-    assert panels.culture_text(cultures, entries).first().text == "URINA – POSITIVO\nE. coli: Amicacina S"
-
-
 def test_stage_graph():
     with pytest.raises(ValueError):
         Pipeline([Stage("a", ("b",), lambda x: x)])
@@ -178,6 +174,27 @@ def test_admission_and_sinks(spark, tmp_path):
 
 
 def test_title_case_and_ranks(spark):
-    assert one(spark, project.title_case, "ANTI-HIV") == "Anti-hiv"
-    assert one(spark, project.title_case, "Sódio") == "Sódio"
+    assert one(spark, render.title_case, "ANTI-HIV 1 E 2") == "Anti-Hiv 1 E 2"
+    assert one(spark, render.title_case, " Sódio ") == "Sódio" and one(spark, render.title_case, "T4 LIVRE (24H) D'AGUA") == "T4 Livre (24H) D'agua"
     assert len({c for c, *_ in project.rank_rows()}) == len(project.rank_rows())
+
+
+def test_composite_curves(spark):
+    def row(e, concept, label, value, n, unit, day):
+        return (f"{label}-{e}", f"{concept}-{e}", "p", e, concept, label, value, n, unit, None, datetime(2026, 7, day, 8), datetime(2026, 8, 1))
+
+    rows = []
+    for e, day, bt, bd in (("e1", 18, 3.8, 2.6), ("e2", 20, 2.9, 1.8)):
+        rows += [row(e, "lab.bilirrubina-total", "BT", str(bt), bt, "mg/dL", day), row(e, "lab.bilirrubina-direta", "BD", str(bd), bd, "mg/dL", day)]
+    h = "lab.hemograma-completo"
+    rows += [row("e1", h, "LEUCÓCITOS", "14.020", 14020.0, "/mm3", 18), row("e1", h, "SEGMENTADOS (NEUTRÓFILOS)", "77,68", 77.68, "%", 18), row("e1", h, "LINFÓCITOS", "9,79", 9.79, "%", 18), row("e1", h, "MIELÓCITOS", "2,99", 2.99, "%", 18)]
+    rows += [row("e2", h, "LEUCÓCITOS", "10.820", 10820.0, "/mm3", 20), row("e2", h, "NEUTRÓFILOS", "70,04", 70.04, "%", 20), row("e2", h, "BASTONETES", "3,00", 3.0, "%", 20), row("e3", h, "LEUCÓCITOS", "1", 1.0, "/mm3", 21)]
+    df = spark.createDataFrame(rows, "observation_id string, occurrence_id string, patient_key string, episode_key string, concept_id string, label string, raw_value string, v double, raw_unit string, normalized_unit string, requested_at timestamp_ntz, received_at timestamp_ntz").withColumn("numeric_value", F.col("v").cast("decimal(28,10)"))
+    assessed = spark.createDataFrame([("p", "e1", "d1", "18/07/2026", 18.3206, None), ("p", "e2", "d2", "20/07/2026", 20.19, None)], "patient_key string, episode_key string, derived_observation_id string, raw_request_date string, value double, reason string")
+    out = {}
+    for r in curves.texts(curves.all_series(df, assessed)).orderBy("place", "n").collect():
+        out.setdefault(r.heading, []).append(r.piece)
+    assert out == {
+        "#Leucograma (/mm³):": ["18/07 - Leuco 14.020 (N 77,6% | L 9,7% | Mielócitos 2,9%)", "20/07 - Leuco 10.820 (N 70,0% | B 3,0%)"], "#BT (mg/dL):": ["18/07 - 3,8", "20/07 - 2,9 (-0,9)"], "#BD (mg/dL):": ["18/07 - 2,6", "20/07 - 1,8 (-0,8)"],
+        "#Bilirrubinas (mg/dL):": ["18/07 - (BT 3,8 | BD 2,6)", "20/07 - (BT 2,9 | BD 1,8)"], "#TFG (mL/min/1,73m²):": ["18/07 - 18,3", "20/07 - 20,1 (+1,8)"],
+    }
