@@ -183,11 +183,14 @@ def answers(region: np.ndarray, item: np.ndarray, rare: np.ndarray) -> bool:
     """Whether the item's part under the best local alignment keeps its numbers and rare words, three at least."""
     n, m = len(region), len(item)
     h = np.zeros((n + 1, m + 1), np.int32)
+    step = np.arange(m + 1, dtype=np.int32)
     for i in range(1, n + 1):
-        row, above = h[i], h[i - 1]
-        for j in range(1, m + 1):
-            s = 1 if region[i - 1] == item[j - 1] else -1
-            row[j] = max(0, above[j - 1] + s, above[j] - 1, row[j - 1] - 1)
+        row = h[i]
+        np.maximum(h[i - 1, :-1] + np.where(item == region[i - 1], 1, -1), h[i - 1, 1:] - 1, out=row[1:])
+        np.maximum(row, 0, out=row)
+        # a gap in the item costs one a word: running maxima of the scores without that cost
+        np.maximum.accumulate(row + step, out=row)
+        row -= step
     i, j = np.unravel_index(int(h.argmax()), h.shape)
     end, hit = j, set()
     while i and j and h[i, j]:
