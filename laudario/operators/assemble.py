@@ -11,8 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laudario.functions import text as T
-
-
+from laudario.session import numbered
 
 
 def _blank(c: str) -> Column:
@@ -108,6 +107,19 @@ def ordered_episodes(headers: DataFrame) -> DataFrame:
     return e.select("patient_key", "episode_key", F.row_number().over(W.partitionBy("patient_key").orderBy(ts.desc_nulls_first(), "request_number", "episode_key")).alias("place"))
 
 
+def ordered_patients(headers: DataFrame) -> DataFrame:
+    """Place of each patient in the batch: by name in key form, then by the birth date as written on the first page. Numbered in a global sort."""
+    order = F.struct("input_index", "document_id", "page_number", "header_id")
+    first = accepted_pages(headers).groupBy("patient_key").agg(F.min_by("patient_name", order).alias("patient_name"), F.min_by("birth_date", order).alias("birth_date"))
+    return numbered(first.withColumn("sorted", T.identity_text(F.col("patient_name"))), "sorted", "birth_date", "patient_key", name="place").select("patient_key", "patient_name", "birth_date", "place")
+
+
+def ordered_pages(headers: DataFrame) -> DataFrame:
+    """Place of each page in its episode: by input, then page."""
+    w = W.partitionBy("episode_key").orderBy("input_index", "page_number", "document_id", "header_id")
+    return accepted_pages(headers).select("episode_key", "header_id", F.row_number().over(w).alias("place"))
+
+
 def coverage(headers: DataFrame, lines: DataFrame) -> DataFrame:
     """Per episode: pages with and without content, lines, blocks, lines saved, and whether the sums agree."""
     pages = accepted_pages(headers).join(page_contents(lines), ["document_id", "page_number"], "left")

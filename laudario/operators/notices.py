@@ -28,9 +28,10 @@ def sanitization_notices(headers: DataFrame, lines: DataFrame) -> DataFrame:
     return row(headers.where(missing), "HeaderIncomplete").unionByName(row(headers.where(F.coalesce(F.size("unresolved_fragments"), F.lit(0)) > 0), "UnresolvedFragments")).unionByName(row(footed, "FooterUnrecognized"))
 
 
-def document_counters(words: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pages, words, lines and attached scripts of each document."""
+def document_counters(words: DataFrame, lines: DataFrame, cells: DataFrame, losses: DataFrame) -> DataFrame:
+    """Pages, words, lines, cells, attached scripts, words on no line and glyphs of no word, of each document."""
     w = words.groupBy("document_id").agg(F.count_distinct("page_number").alias("pages"), F.count("*").alias("words"))
     by_page = lines.groupBy(*PAGE).agg((F.max("line_no") + 1).alias("lines"), F.count("attached_to").alias("attachments"))
     n = by_page.groupBy("document_id").agg(F.sum("lines").alias("lines"), F.sum("attachments").alias("attachments"))
-    return w.join(n, "document_id", "left").na.fill(0)
+    c = cells.groupBy("document_id").agg(F.count("*").alias("cells"))
+    return w.join(n, "document_id", "left").join(c, "document_id", "left").join(losses, "document_id", "left").na.fill(0)

@@ -108,6 +108,41 @@ def observations(routes: DataFrame) -> DataFrame:
     return both.withColumn("ordinal", F.row_number().over(w) - 1).withColumn("numeric_value", F.when(F.col("coded_value").isNull(), T.parse_decimal(F.col("raw_value"))))
 
 
+SEGMENTATION_RULE = "semantic.segmentation.catalogue-anchor"
+
+
+def records(routes: DataFrame, lines: DataFrame, concepts: DataFrame) -> DataFrame:
+    """One row an exam: representation status, rules, and how many lines, words, specimens and narratives it owns.
+
+    An exam with a narrative beyond its first line is structured with a residual. The rules are that of the
+    segmentation, the concept's extraction strategy and those of its lines, each once, in order.
+    """
+    own = routes.where("anchor_key IS NOT NULL").join(lines.select("line_key", "applied_rule_ids", "source_word_ids"), "line_key")
+    g = own.groupBy("anchor_key", "concept_id").agg(
+        F.count("*").alias("lines"), F.sum(F.coalesce(F.size("source_word_ids"), F.lit(0))).alias("words"), F.count_if(F.col("route") == "Specimen").alias("specimens"),
+        F.count_if((F.col("route") == "Narrative") & (F.col("line_key") != F.col("anchor_key"))).alias("narratives"), F.array_distinct(F.flatten(F.collect_set("applied_rule_ids"))).alias("own"),
+    )
+    named = g.join(small_side(concepts.select("concept_id", "extraction_strategy_id").dropDuplicates(["concept_id"])), "concept_id", "left")
+    rules = F.array_sort(F.array_distinct(F.filter(F.concat(F.array(F.lit(SEGMENTATION_RULE), F.col("extraction_strategy_id")), "own"), lambda r: r.isNotNull())))
+    status = F.when(F.col("narratives") > 0, "StructuredWithResidual").otherwise("FullyStructured")
+    return named.select("anchor_key", "concept_id", status.alias("status"), F.array_join(rules, " ").alias("rules"), "lines", "words", "specimens", "narratives")
+
+
+def evidence(owned: DataFrame, lines: DataFrame) -> DataFrame:
+    """(anchor_key, line_key, position, document_id, page_number, line_id, words, suppressed): every line of an exam in order, with what it is traced to."""
+    own = owned.where("anchor_key IS NOT NULL").select("anchor_key", "line_key", "document_id", "page_number", "source_index", "line_id")
+    w = W.partitionBy("anchor_key").orderBy("page_number", "source_index", "line_id")
+    traced = lines.select("line_key", F.array_join("source_word_ids", ",").alias("words"), F.coalesce(F.size("suppressed_segments"), F.lit(0)).alias("suppressed"))
+    return own.withColumn("position", F.row_number().over(w) - 1).join(traced, "line_key").select("anchor_key", "line_key", "position", "document_id", "page_number", "line_id", "words", "suppressed")
+
+
+def organisms(routes: DataFrame) -> DataFrame:
+    """(anchor_key, line_key, organism_id, organism): what the `CULTURAL` lines of cultures name, unless it is `NEGATIVO`."""
+    value = F.trim(F.regexp_extract("text", "^[^:]*:(.*)$", 1))
+    named = routes.where((F.col("form") == CULTURE) & (F.col("label_key") == "CULTURAL") & F.col("text").contains(":")).withColumn("organism", value)
+    return named.where((F.col("organism") != "") & (F.upper("organism") != "NEGATIVO")).select("anchor_key", "line_key", T.stable_id("organism", F.col("anchor_key"), F.col("organism")).alias("organism_id"), "organism")
+
+
 def susceptibility(rows: DataFrame) -> DataFrame:
     """Unpivots antibiogram rows: the i-th cell `drug: result` belongs to the i-th organism.
 
@@ -135,7 +170,7 @@ def culture_links(cultures: DataFrame, panels: DataFrame) -> DataFrame:
 
 
 def coverage(owned: DataFrame) -> DataFrame:
-    """Owned and unsupported lines by page, document and in all, in one pass."""
+    """Owned and unsupported lines by page, document and in all, in one pass; `lossless` if every line is one of them, and owned once."""
     return owned.rollup("document_id", "page_number").agg(
-        F.count("*").alias("lines"), F.count("anchor_key").alias("owned"), F.count("reason").alias("unsupported"), F.count_distinct("anchor_key").alias("exams"),
-    ).select("document_id", "page_number", "lines", "owned", "unsupported", "exams")
+        F.count("*").alias("lines"), F.count("anchor_key").alias("owned"), F.count("reason").alias("unsupported"), F.count_distinct("anchor_key").alias("exams"), (F.count("*") - F.count_distinct("line_key")).alias("multiply_owned"),
+    ).select("document_id", "page_number", "lines", "owned", "unsupported", "exams", "multiply_owned", ((F.col("owned") + F.col("unsupported") == F.col("lines")) & (F.col("multiply_owned") == 0)).alias("lossless"))

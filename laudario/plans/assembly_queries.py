@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from laudario.functions import text as T
 from laudario.operators import assemble as A
+from laudario.sources import admission
 from laudario.sources.tables import table
 
 
@@ -33,6 +34,14 @@ def assembly_order(spark, folder):
     return A.ordered_episodes(_h(spark, folder))
 
 
+def patient_order(spark, folder):
+    return A.ordered_patients(_h(spark, folder))
+
+
+def page_order(spark, folder):
+    return A.ordered_pages(_h(spark, folder))
+
+
 def canonical_blocks(spark, folder):
     return A.content_blocks(_h(spark, folder), _l(spark, folder))
 
@@ -45,6 +54,12 @@ def age_at_request(spark, folder):
     return A.ages(_h(spark, folder))
 
 
+def assembly_whole_ledger(spark, folder):
+    """The ledger with failed inputs; documents without a text stand for files that could not be read."""
+    files = table(spark, folder, "documents").where(F.coalesce(F.length("text"), F.lit(0)) == 0).select((F.col("doc_id") + 1_000_000_000).alias("input_index"), F.lit("Empty").alias("error"))
+    return admission.whole_ledger(A.ledger(_h(spark, folder)), admission.ledger_rows(files))
+
+
 def assembly_totals(spark, folder):
     """Patients, episodes and pages of the batch, with refused documents and pages without an episode."""
     h = _h(spark, folder)
@@ -53,7 +68,7 @@ def assembly_totals(spark, folder):
     return led.crossJoin(pages)  # two rows of totals
 
 
-QUERIES = {f.__name__: f for f in (assembly_ledger, assembly_documents, assembly_episodes, assembly_order, canonical_blocks, assembly_coverage, age_at_request, assembly_totals)}
+QUERIES = {f.__name__: f for f in (assembly_ledger, assembly_documents, assembly_episodes, assembly_order, patient_order, page_order, canonical_blocks, assembly_coverage, age_at_request, assembly_whole_ledger, assembly_totals)}
 
 _KEY = T.sql_stable_id("patient", T.sql_identity_text("patient_name"), T.sql_iso_or_raw("birth_date"))
 _NO = "({0} IS NULL OR trim({0}, ' ') = '')"
@@ -82,10 +97,17 @@ _BASE = f"""
     origins AS (SELECT episode_key, string_agg(origin, ' | ' ORDER BY o) AS origins FROM spelled GROUP BY ALL)
 """
 SQL = {
+    "assembly_whole_ledger": _BASE + """
+        SELECT document_id, input_index, status, pages, reason FROM led
+        UNION ALL SELECT 'failed-' || CAST(doc_id + 1000000001 AS VARCHAR), doc_id + 1000000000, 'Failed', NULL, 'Empty' FROM documents WHERE coalesce(length(text), 0) = 0""",
     "assembly_documents": _BASE + "SELECT * FROM docs",
     "assembly_ledger": _BASE + "SELECT * FROM led",
     "assembly_episodes": _BASE + "SELECT eps.*, origins FROM eps LEFT JOIN origins USING (episode_key)",
     "assembly_order": _BASE + "SELECT patient_key, episode_key, row_number() OVER (PARTITION BY patient_key ORDER BY try_strptime(request_date || ' ' || request_time, '%d/%m/%Y %H:%M:%S') DESC NULLS FIRST, request_number, episode_key) AS place FROM eps",
+    "patient_order": _BASE + f"""
+        , ps AS (SELECT patient_key, first(patient_name ORDER BY input_index, document_id, page_number, header_id) AS patient_name, first(birth_date ORDER BY input_index, document_id, page_number, header_id) AS birth_date FROM acc GROUP BY ALL)
+        SELECT *, row_number() OVER (ORDER BY {T.sql_identity_text('patient_name')}, birth_date, patient_key) AS place FROM ps""",
+    "page_order": _BASE + "SELECT episode_key, header_id, CAST(row_number() OVER (PARTITION BY episode_key ORDER BY input_index, page_number, document_id, header_id) AS INTEGER) AS place FROM acc",
     "canonical_blocks": _BASE + f"SELECT episode_key, fingerprint, ordinal, sources, lines, {T.sql_stable_id('block', 'episode_key', 'fingerprint', 'ordinal')} AS block_id FROM blocks",
     "assembly_coverage": _BASE + """
         , src AS (SELECT episode_key, count(*) AS pages, count(fingerprint) AS active_pages, coalesce(sum(lines), 0) AS source_lines FROM acc LEFT JOIN content USING (document_id, page_number) GROUP BY ALL),

@@ -20,8 +20,8 @@ def file_admission(spark, folder):
 
 
 def content_inspection(spark, folder):
-    """Texts taken for files: fingerprint, or the reason why they are refused."""
-    files = table(spark, folder, "documents").select("doc_id", F.encode(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("%PDF-"), "text")).otherwise(F.col("text")), "UTF-8").alias("content"))
+    """All texts taken for files, the signature in front of what isn't empty: fingerprint, or the reason why they are refused."""
+    files = table(spark, folder, "documents").select("doc_id", F.encode(F.concat(F.when(F.length("text") > 0, F.lit("%PDF-")).otherwise(""), "text"), "UTF-8").alias("content"))
     return admission.inspect(files).select("doc_id", "error", "document_id")
 
 
@@ -64,7 +64,7 @@ SQL = {
     "file_admission": _FILES + """ SELECT document_id, file_name AS path, CASE WHEN NOT coalesce(ends_with(lower(file_name), '.pdf'), FALSE) THEN 'Invalid'
         WHEN row_number() OVER (PARTITION BY lower(file_name) ORDER BY input_index) = 1 THEN 'Accepted' ELSE 'Duplicate' END AS admission FROM f""",
     "content_inspection": """
-        WITH c AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '%PDF-' || text ELSE text END AS t FROM documents),
+        WITH c AS (SELECT doc_id, CASE WHEN length(text) > 0 THEN '%PDF-' || text ELSE text END AS t FROM documents),
         e AS (SELECT doc_id, t, CASE WHEN t IS NULL OR strlen(t) = 0 THEN 'Empty' WHEN strlen(t) > 268435456 THEN 'TooLarge' WHEN NOT starts_with(t, '%PDF-') THEN 'NoSignature' END AS error FROM c)
         SELECT doc_id, error, CASE WHEN error IS NULL THEN 'doc-' || substr(sha256(t), 1, 12) END AS document_id FROM e""",
     "export_names": _FILES + """

@@ -79,7 +79,8 @@ def page_notices(spark, folder):
 
 def document_counters(spark, folder):
     words = _w(spark, folder)
-    return N.document_counters(words, R.lines_of_words(words))
+    lines = R.lines_of_words(words)
+    return N.document_counters(words, lines, R.cells(words, lines), R.losses(words, lines, table(spark, folder, "capture_glyph")))
 
 
 QUERIES = {f.__name__: f for f in (page_tolerance, line_clustering, page_cells, page_lines, cell_split, page_losses, glyph_links, reference_bands, sanitized_pages, sanitized_page_words, page_notices, document_counters)}

@@ -29,11 +29,19 @@ def exam_observations(spark, folder):
     return S.observations(S.routed(_owned(spark, folder))).select("anchor_key", "concept_id", "line_key", "ordinal", "label", "raw_value", "raw_unit", "coded_value", F.col("numeric_value").cast("double").alias("numeric_value"))
 
 
+def exam_records(spark, folder):
+    return S.records(S.routed(_owned(spark, folder)), table(spark, folder, "sanitized_line"), table(spark, folder, "laboratory_concept"))
+
+
+def exam_evidence(spark, folder):
+    return S.evidence(_owned(spark, folder), table(spark, folder, "sanitized_line"))
+
+
 def semantic_coverage(spark, folder):
     return S.coverage(_owned(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (catalog_aliases, anchor_segmentation, line_routes, exam_observations, semantic_coverage)}
+QUERIES = {f.__name__: f for f in (catalog_aliases, anchor_segmentation, line_routes, exam_observations, exam_records, exam_evidence, semantic_coverage)}
 
 _SEG = T.sql_result_segment("text")
 _KEYS = f"""
@@ -73,5 +81,13 @@ SQL = {
             UNION ALL SELECT anchor_key, concept_id, line_key, line_id, page_number, source_index, {T.sql_literal_label('text')}, 0, trim(seg, ' '), CAST(NULL AS VARCHAR), trim(seg, ' ') FROM routed WHERE route = 'Coded' AND anchor_key IS NOT NULL)
         SELECT anchor_key, concept_id, line_key, CAST(row_number() OVER (PARTITION BY anchor_key ORDER BY page_number, source_index, line_id, k) - 1 AS INTEGER) AS ordinal, label, raw_value, raw_unit, coded_value,
         CASE WHEN coded_value IS NULL THEN CAST({T.sql_parse_decimal('raw_value')} AS DOUBLE) END AS numeric_value FROM b""",
-    "semantic_coverage": _OWNED + "SELECT document_id, page_number, count(*) AS lines, count(anchor_key) AS owned, count(reason) AS unsupported, count(DISTINCT anchor_key) AS exams FROM owned GROUP BY ROLLUP (document_id, page_number)",
+    "exam_records": _OWNED + f"""
+        , j AS (SELECT r.*, s.applied_rule_ids, coalesce(len(s.source_word_ids), 0) AS nw FROM routed r JOIN sanitized_line s USING (line_key) WHERE anchor_key IS NOT NULL),
+        g AS (SELECT anchor_key, concept_id, count(*) AS lines, CAST(sum(nw) AS BIGINT) AS words, count(*) FILTER (route = 'Specimen') AS specimens, count(*) FILTER (route = 'Narrative' AND line_key <> anchor_key) AS narratives, flatten(list(coalesce(applied_rule_ids, []))) AS own FROM j GROUP BY ALL)
+        SELECT anchor_key, concept_id, CASE WHEN narratives > 0 THEN 'StructuredWithResidual' ELSE 'FullyStructured' END AS status,
+        array_to_string(list_sort(list_distinct(list_filter(list_concat(['{S.SEGMENTATION_RULE}', extraction_strategy_id], own), lambda x: x IS NOT NULL))), ' ') AS rules, lines, words, specimens, narratives FROM g LEFT JOIN laboratory_concept USING (concept_id)""",
+    "exam_evidence": _OWNED + """
+        SELECT anchor_key, line_key, CAST(row_number() OVER (PARTITION BY anchor_key ORDER BY o.page_number, o.source_index, o.line_id) - 1 AS INTEGER) AS position, o.document_id, o.page_number, o.line_id, array_to_string(s.source_word_ids, ',') AS words, coalesce(len(s.suppressed_segments), 0) AS suppressed
+        FROM owned o JOIN sanitized_line s USING (line_key) WHERE anchor_key IS NOT NULL""",
+    "semantic_coverage": _OWNED + "SELECT document_id, page_number, count(*) AS lines, count(anchor_key) AS owned, count(reason) AS unsupported, count(DISTINCT anchor_key) AS exams, count(*) - count(DISTINCT line_key) AS multiply_owned, count(anchor_key) + count(reason) = count(*) AND count(*) = count(DISTINCT line_key) AS lossless FROM owned GROUP BY ROLLUP (document_id, page_number)",
 }

@@ -40,6 +40,19 @@ def inspect(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("error", error).withColumn("document_id", F.when(F.col("error").isNull(), F.concat(F.lit("doc-"), F.substring(F.sha2(c, 256), 1, 12))))
 
 
+def counters(admitted: DataFrame) -> DataFrame:
+    """One row: inputs that were accepted, invalid, and duplicate."""
+    return admitted.agg(*[F.count_if(F.col("admission") == a).alias(a.lower()) for a in ("Accepted", "Invalid", "Duplicate")])
+
+
+def whole_ledger(ledger: DataFrame, failed: DataFrame) -> DataFrame:
+    """The ledger of read documents and of those that failed, one row an input. No input, and failures alone, are errors."""
+    rows = ledger.select("document_id", "input_index", "status", F.col("pages").cast("bigint").alias("pages"), "reason")
+    if rows.isEmpty():
+        raise ValueError("all inputs failed" if not failed.isEmpty() else "there is no input")
+    return rows.unionByName(failed.select("document_id", "input_index", "status", "pages", "reason"))
+
+
 def ledger_rows(inspected: DataFrame) -> DataFrame:
     """Failed inputs as ledger rows: id `failed-` and the input's number, no pages, the reason."""
     return inspected.where("error IS NOT NULL").select(F.format_string("failed-%04d", F.col("input_index") + 1).alias("document_id"), "input_index", F.lit("Failed").alias("status"), F.lit(None).cast("bigint").alias("pages"), F.col("error").alias("reason"))

@@ -163,6 +163,14 @@ def test_admission_and_sinks(spark, tmp_path):
     files = admission.inspect(admission.binary_files(spark, str(tmp_path / "in")))
     assert sorted((r.input_index, r.error) for r in files.collect()) == [(0, None), (1, "NoSignature")]
     assert admission.ledger_rows(files).first().document_id == "failed-0002"
+    read = spark.createDataFrame([("doc-1", 0, "Assigned", 3, None)], "document_id string, input_index int, status string, pages bigint, reason string")
+    assert sorted((r.input_index, r.status, r.pages) for r in admission.whole_ledger(read, admission.ledger_rows(files)).collect()) == [(0, "Assigned", 3), (1, "Failed", None)]
+    with pytest.raises(ValueError, match="all inputs failed"):
+        admission.whole_ledger(read.limit(0), admission.ledger_rows(files))
+    with pytest.raises(ValueError, match="no input"):
+        admission.whole_ledger(read.limit(0), admission.ledger_rows(files).limit(0))
+    paths = spark.createDataFrame([(0, "a.pdf"), (1, "A.PDF"), (2, "b.txt"), (3, None)], "input_index int, path string")
+    assert tuple(admission.counters(admission.admit(paths)).first()) == (1, 2, 1)
     names = spark.createDataFrame([("d1", 0, "a/b.pdf"), ("d2", 1, "A_B.pdf"), ("d3", 2, " .pdf"), ("d4", 3, None)], "document_id string, input_index int, file_name string")
     assert [r.output_name for r in sinks.unique_names(names).orderBy("input_index").collect()] == ["a_b.json", "A_B-02.json", "document.json", "document-02.json"]
     folders = sinks.write_audit({"text": names, "capture": names}, str(tmp_path / "out"), {"capture": False})
@@ -198,3 +206,16 @@ def test_composite_curves(spark):
         "#Leucograma (/mm³):": ["18/07 - Leuco 14.020 (N 77,6% | L 9,7% | Mielócitos 2,9%)", "20/07 - Leuco 10.820 (N 70,0% | B 3,0%)"], "#BT (mg/dL):": ["18/07 - 3,8", "20/07 - 2,9 (-0,9)"], "#BD (mg/dL):": ["18/07 - 2,6", "20/07 - 1,8 (-0,8)"],
         "#Bilirrubinas (mg/dL):": ["18/07 - (BT 3,8 | BD 2,6)", "20/07 - (BT 2,9 | BD 1,8)"], "#TFG (mL/min/1,73m²):": ["18/07 - 18,3", "20/07 - 20,1 (+1,8)"],
     }
+
+
+def test_contracts(spark, tmp_path):
+    from laudario.plans import contracts
+
+    df = spark.range(2).toDF("a.b")
+    stamped = contracts.stamp(df, "1.2", "1.0")
+    assert contracts.guard(stamped, "semantic").count() == 2
+    stamped.write.parquet(str(tmp_path / "t"))
+    assert contracts.guard(spark.read.parquet(str(tmp_path / "t")), "semantic").columns == ["a.b"]
+    for bad, layer in ((df, "semantic"), (stamped, "derived"), (contracts.stamp(df, "1.1", "1.0", False), "projection")):
+        with pytest.raises(ValueError):
+            contracts.guard(bad, layer)

@@ -79,3 +79,21 @@ def test_anchors_match_a_walk(spark):
     out = run(spark, pages)
     for d, _, texts in pages:
         assert [out[d * 1000 + 100 + i].opens for i in range(12)] == brute(texts), texts
+
+
+def test_organisms_records_and_evidence(spark):
+    from pyspark.sql import functions as F
+
+    concepts = spark.createDataFrame([(*c, f"strategy-{c[3]}") for c in CONCEPTS], "concept_id string, display_name string, observed_aliases array<string>, structural_form_id string, observed_components array<string>, extraction_strategy_id string")
+    texts = ["UROCULTURA", "CULTURAL: Escherichia coli", "CULTURAL: Negativo", "MATERIAL: URINA", "nota livre"]
+    rows = [("d", 1, f"l{i}", i, i, t, "Active", [f"r{i % 2}"], [f"w{i}", f"v{i}"], []) for i, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "document_id string, page_number int, line_id string, line_key int, source_index int, text string, disposition string, applied_rule_ids array<string>, source_word_ids array<string>, suppressed_segments array<string>")
+    owned = S.continued(S.anchored(lines, concepts))
+    routes = S.routed(owned)
+    assert [r.organism for r in S.organisms(routes).collect()] == ["Escherichia coli"]
+    r = S.records(routes, lines, concepts).first()
+    assert (r.status, r.lines, r.words, r.specimens, r.narratives) == ("StructuredWithResidual", 5, 10, 1, 1)
+    assert r.rules == " ".join(sorted(["r0", "r1", S.SEGMENTATION_RULE, "strategy-microbiology-culture"]))
+    assert [(e.position, e.words) for e in S.evidence(owned, lines).orderBy("position").collect()] == [(i, f"w{i},v{i}") for i in range(5)]
+    total = S.coverage(owned).where(F.col("document_id").isNull()).first()
+    assert total.lossless and total.multiply_owned == 0
