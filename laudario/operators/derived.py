@@ -44,6 +44,34 @@ def assess(inputs: DataFrame) -> DataFrame:
     return out.withColumn("value", F.when(F.col("reason").isNull(), F.col("value"))).withColumn("status", F.when(F.col("reason").isNull(), "Computed").otherwise("NotComputed"))
 
 
+# Fixed value: the label of rates that the laboratory reports itself.
+REPORTED_LABEL = "Taxa de Filtração Glomerular Estimada"
+
+
+def candidates(occurrences: DataFrame) -> DataFrame:
+    """Inputs of the rate for each creatinine occurrence: its observation, if exactly one is no reported rate, and its specimen, if it has exactly one.
+
+    `occurrences` has occurrence_id, patient_key, episode_key, observations (id, label, raw_value, numeric_value, raw_unit) and
+    specimens. The columns are those that `assess` reads of an observation; `candidates` counts the observations.
+    """
+    own = F.filter("observations", lambda o: F.coalesce(o["label"], F.lit("")) != REPORTED_LABEL)
+    df = occurrences.withColumn("own", own).withColumn("one", F.when(F.size("own") == 1, F.get("own", F.lit(0))))
+    return df.select(
+        "occurrence_id", "patient_key", "episode_key", F.when(F.size("own") > 0, F.get("own", F.lit(0))["id"]).alias("source_observation_id"), F.size("own").alias("candidates"), F.transform("own", lambda o: o["id"]).alias("candidate_ids"),
+        F.col("one.raw_value").alias("raw_creatinine_value"), F.col("one.numeric_value").alias("numeric_creatinine_value"), F.col("one.raw_unit").alias("raw_creatinine_unit"), F.when(F.size("specimens") == 1, F.get("specimens", F.lit(0))).alias("raw_specimen"),
+    )
+
+
+def provenance(inputs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(derived_observation_id, sources, header_pages, header_lines): the observations a rate comes from, and the header lines of its episode's pages.
+
+    `pages` has episode_key, document_id, page_number, source_line_ids. Sources are sorted and joined by commas; an episode without pages has none.
+    """
+    headers = pages.groupBy("episode_key").agg(F.count("*").alias("header_pages"), F.sum(F.coalesce(F.size("source_line_ids"), F.lit(0))).alias("header_lines"))
+    own = inputs.groupBy("derived_observation_id").agg(F.array_join(F.array_sort(F.collect_set("source_observation_id")), ",").alias("sources"), F.min("episode_key").alias("episode_key"))
+    return own.join(headers, "episode_key", "left").select("derived_observation_id", "sources", F.coalesce("header_pages", F.lit(0)).alias("header_pages"), F.coalesce("header_lines", F.lit(0)).alias("header_lines"))
+
+
 def with_candidates(inputs: DataFrame) -> DataFrame:
     """Counts the sources of each derived observation; repeated deliveries of one source count once."""
     n = inputs.groupBy("derived_observation_id").agg(F.count_distinct("source_observation_id").alias("candidates"))

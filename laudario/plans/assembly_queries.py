@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from laudario.functions import text as T
 from laudario.operators import assemble as A
+from laudario.operators import derived as D
 from laudario.sources import admission
 from laudario.sources.tables import table
 
@@ -54,6 +55,10 @@ def age_at_request(spark, folder):
     return A.ages(_h(spark, folder))
 
 
+def egfr_provenance(spark, folder):
+    return D.provenance(table(spark, folder, "derived_input"), A.accepted_pages(_h(spark, folder)))
+
+
 def assembly_whole_ledger(spark, folder):
     """The ledger with failed inputs; documents without a text stand for files that could not be read."""
     files = table(spark, folder, "documents").where(F.coalesce(F.length("text"), F.lit(0)) == 0).select((F.col("doc_id") + 1_000_000_000).alias("input_index"), F.lit("Empty").alias("error"))
@@ -68,7 +73,7 @@ def assembly_totals(spark, folder):
     return led.crossJoin(pages)  # two rows of totals
 
 
-QUERIES = {f.__name__: f for f in (assembly_ledger, assembly_documents, assembly_episodes, assembly_order, patient_order, page_order, canonical_blocks, assembly_coverage, age_at_request, assembly_whole_ledger, assembly_totals)}
+QUERIES = {f.__name__: f for f in (assembly_ledger, assembly_documents, assembly_episodes, assembly_order, patient_order, page_order, canonical_blocks, assembly_coverage, age_at_request, egfr_provenance, assembly_whole_ledger, assembly_totals)}
 
 _KEY = T.sql_stable_id("patient", T.sql_identity_text("patient_name"), T.sql_iso_or_raw("birth_date"))
 _NO = "({0} IS NULL OR trim({0}, ' ') = '')"
@@ -97,6 +102,10 @@ _BASE = f"""
     origins AS (SELECT episode_key, string_agg(origin, ' | ' ORDER BY o) AS origins FROM spelled GROUP BY ALL)
 """
 SQL = {
+    "egfr_provenance": _BASE + """
+        , hp AS (SELECT episode_key, count(*) AS header_pages, CAST(sum(coalesce(len(source_line_ids), 0)) AS BIGINT) AS header_lines FROM acc GROUP BY ALL),
+        dv AS (SELECT derived_observation_id, coalesce(string_agg(DISTINCT source_observation_id, ',' ORDER BY source_observation_id), '') AS sources, min(episode_key) AS episode_key FROM derived_input GROUP BY ALL)
+        SELECT derived_observation_id, sources, coalesce(header_pages, 0) AS header_pages, coalesce(header_lines, 0) AS header_lines FROM dv LEFT JOIN hp USING (episode_key)""",
     "assembly_whole_ledger": _BASE + """
         SELECT document_id, input_index, status, pages, reason FROM led
         UNION ALL SELECT 'failed-' || CAST(doc_id + 1000000001 AS VARCHAR), doc_id + 1000000000, 'Failed', NULL, 'Empty' FROM documents WHERE coalesce(length(text), 0) = 0""",

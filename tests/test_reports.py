@@ -219,3 +219,21 @@ def test_contracts(spark, tmp_path):
     for bad, layer in ((df, "semantic"), (stamped, "derived"), (contracts.stamp(df, "1.1", "1.0", False), "projection")):
         with pytest.raises(ValueError):
             contracts.guard(bad, layer)
+
+
+def test_candidates_of_rates(spark):
+    o = "array<struct<id:string,label:string,raw_value:string,numeric_value:double,raw_unit:string>>"
+    rows = [
+        ("a", "p", "e", [("1", "CREATININA", "1,0", 1.0, "mg/dL"), ("2", derived.REPORTED_LABEL, "90", 90.0, None)], ["SORO"]), ("b", "p", "e", [("3", "CREATININA", "1,0", 1.0, "mg/dL"), ("4", "TAXA DE FILTRACAO", "90", 90.0, None)], ["SORO"]),
+        ("c", "p", "e", [], ["SORO", "URINA"]), ("d", "p", "e", [("5", None, None, None, None)], []),
+    ]
+    df = spark.createDataFrame(rows, f"occurrence_id string, patient_key string, episode_key string, observations {o}, specimens array<string>")
+    found = {r.occurrence_id: r for r in derived.candidates(df).collect()}
+    assert (found["a"].source_observation_id, found["a"].candidates, found["a"].raw_specimen) == ("1", 1, "SORO")
+    assert (found["b"].candidates, found["b"].raw_creatinine_value, found["b"].candidate_ids) == (2, None, ["3", "4"])
+    assert (found["c"].source_observation_id, found["c"].candidates, found["c"].raw_specimen) == (None, 0, None)
+    assert found["d"].candidates == 1 and found["d"].raw_specimen is None
+    inputs = derived.candidates(df).withColumn("age_at_request_years", F.lit(50)).withColumn("raw_sex", F.lit("Feminino"))
+    reasons = {r.occurrence_id: r.reason for r in derived.assess(inputs).collect()}
+    assert reasons == {"a": None, "b": "CreatinineObservationAmbiguous", "c": "SerumSpecimenNotConfirmed", "d": "SerumSpecimenNotConfirmed"}
+    assert derived.provenance(spark.createDataFrame([("d", "s2", "e"), ("d", "s1", "e")], "derived_observation_id string, source_observation_id string, episode_key string"), spark.createDataFrame([("e", "x", 1, ["l1", "l2"])], "episode_key string, document_id string, page_number int, source_line_ids array<string>")).first() == ("d", "s1,s2", 1, 2)
