@@ -101,6 +101,7 @@ class Canon:
                 if len(joined) >= 5:
                     for d in deletes(joined, 1):
                         self.whole[d].add((joined, i))
+        self.longest_remark = max(map(len, self.remarks), default=0)
         self.remark_index: dict[str, set[str]] = defaultdict(set)
         for n in self.remarks:
             if len(n) >= 5:
@@ -204,7 +205,7 @@ class Canon:
         if (found := self.extras.get(word)) is None:
             if len(self.extras) > 200_000:
                 self.extras.clear()
-            close = 5 <= len(word) <= 14 and any(distance(word, n, 2.0) <= min(2.0, allowed(len(n))) for n in set().union(*(self.remark_index.get(d, ()) for d in deletes(word, 2))))
+            close = 5 <= len(word) <= self.longest_remark + 4 and any(distance(word, n, 2.0) <= min(2.0, allowed(len(n))) for n in set().union(*(self.remark_index.get(d, ()) for d in deletes(word, 2))))
             found = self.extras[word] = 0.1 if close else EXTRA
         return found
 
