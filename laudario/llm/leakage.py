@@ -244,13 +244,19 @@ class Searcher:
         place, item = np.repeat(place, size), x.postings[flat].astype(np.int64)
         # Only pairs that share enough in all, and of these the places where a window's length holds enough.
         both = text[place] * len(x.items) + item
-        order = np.lexsort((place, both))
-        both, place, item = both[order], place[order], item[order]
-        first = np.searchsorted(both, both, side="left")
-        enough = np.searchsorted(both, both, side="right") - first >= x.need[item]
+        # places ascend already, but for those of items of one word
+        order = np.lexsort((place, both)) if len(x.single) else np.argsort(both, kind="stable")
+        both = both[order]
+        runs = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1], [True]]))
+        runs = np.repeat(np.diff(runs), np.diff(runs))
+        enough = runs >= x.need[both % len(x.items)]
+        both, place = both[enough], place[order[enough]]
+        if not len(both):
+            return none, none, none
+        item = both % len(x.items)
         line = both * (len(ids) + WINDOW) + place
-        dense = np.searchsorted(line, line + WINDOW - 1, side="left") - np.arange(len(line)) >= np.minimum(PAIRS, x.need[item])
-        keep = enough & dense
+        last = np.arange(len(line)) + np.minimum(PAIRS, x.need[item]) - 1
+        keep = (last < len(line)) & (line[np.minimum(last, len(line) - 1)] - line < WINDOW - 1)
         if not keep.any():
             return none, none, none
         some = np.unique(both[keep])
